@@ -293,3 +293,112 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(column: str = "doc_id"):
     """crc32 of the id as text, modulo 5; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers as byte planes; those that are all zero cost nothing once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() if len(x) else b""
+
+
+def from_planes(blob: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+CHUNKS = "chunk string, doc_ids array<bigint>, folds binary, offsets binary, text binary"
+
+
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+    """Documents packed into chunks and stored: ids, crc32 folds, offsets, and the zstd-compressed text of each chunk."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        part, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        for no, t in enumerate(slices(batches, "text", limit)):
+            data, offsets = utf8(t["text"])
+            ids = t["doc_id"].combine_chunks()
+            cols = [pa.array([f"{part}-{no}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([t["fold"].to_numpy().astype(np.uint8).tobytes()], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([squeeze.compress(data.tobytes())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["chunk", "doc_ids", "folds", "offsets", "text"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), fold(doc_id).alias("fold"))
+    return stored(rows.mapInArrow(pack, CHUNKS))
+
+
+class Chunk:
+    """One chunk, unpacked; a null id counts as the largest."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, row: int = 0) -> None:
+        import zstandard
+
+        get = lambda c: table.column(table.schema.get_field_index(c))[row]
+        self.name = get("chunk").as_py()
+        self.ids = get("doc_ids").values
+        self.order = np.asarray(self.ids.fill_null(np.iinfo(np.int64).max)) if self.ids.null_count else self.ids.to_numpy()
+        self.folds = np.frombuffer(get("folds").as_py(), np.uint8)
+        self.offsets = np.frombuffer(get("offsets").as_py(), np.int64)
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("text").as_py(), max_output_size=max(1, int(self.offsets[-1]))), np.uint8)
+
+
+def each_chunk(store: DataFrame, fn: Callable[[Chunk], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn for every chunk of the stored table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from fn(Chunk(b, i))
+
+    return store.mapInArrow(run, schema)
+
+
+def each_answered(store: DataFrame, back: dict[str, DataFrame], fn: Callable[[Chunk, dict[str, pa.Table]], pa.Table], schema: str) -> DataFrame:
+    """fn for every chunk, with the rows that each exchange sent back to it."""
+    both = None
+    for name, df in back.items():
+        tagged = df.withColumn("exchange", F.lit(name))
+        both = tagged if both is None else both.unionByName(tagged, allowMissingColumns=True)
+    names = list(back)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        return fn(Chunk(left), {n: right.filter(pc.equal(right["exchange"], n)) for n in names})
+
+    return store.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def in_group(inverse: np.ndarray, starts: np.ndarray, x: np.ndarray, how: np.ufunc) -> np.ndarray:
+    """how (np.minimum, np.maximum, np.add) of x over each group of equal keys."""
+    order = np.argsort(inverse, kind="stable")
+    return how.reduceat(x[order], starts, dtype=x.dtype) if len(x) else x
+
+
+def several_documents(multi: np.ndarray, chunk_no: np.ndarray, inverse: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each group: does its key stand in two documents at least?  A key comes once from each chunk that has it."""
+    return (np.bincount(inverse, minlength=len(starts)) > 1) | (np.bincount(inverse, weights=multi, minlength=len(starts)) > 0)
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Least of every w neighbours."""
+    m, have = x, 1
+    while have * 2 <= w:
+        m = np.minimum(m[:-have], m[have:])
+        have *= 2
+    return np.minimum(m[: len(x) - w + 1], m[w - have : w - have + len(x) - w + 1]) if len(x) >= w else x[:0]
+
+
+def keys_of_documents(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and whether each stands in several documents."""
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    keys, doc = keys[new], doc[new]
+    order = np.argsort(keys, kind="stable")
+    keys, doc = keys[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(first):
+        return keys, np.zeros(0, np.uint8)
+    return keys[first], (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)).astype(np.uint8)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, mixing, token_store, toxicity, warc
+from . import ann, decontaminate, lm, mixing, substring, token_store, toxicity, warc
 from .common import read
 
 #: Folder of public tokenizer files; a parameter of the operators.
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_file_table(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,6 +37,10 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"))
 
 
+def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(read(spark, sf_dir, "documents")).drop("factors")
+
+
 def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages"))
 
@@ -47,9 +55,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op3_token_store": op3_token_store,
     "op4_toxicity": op4_toxicity,
     "op5_multi_index": op5_multi_index,
+    "op7_relative_lz": op7_relative_lz,
     "op8_warc_salvage": op8_warc_salvage,
     "op9_entropy_mix": op9_entropy_mix,
     "op10_decontaminate": op10_decontaminate,
