@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, lm, mixing, substring, token_store, toxicity, warc
+from . import ann, decontaminate, jaccard, lm, mixing, substring, token_store, toxicity, warc
 from .common import read
 
 #: Folder of public tokenizer files; a parameter of the operators.
@@ -37,6 +37,10 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(read(spark, sf_dir, "embeddings"))
 
 
+def op6_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(read(spark, sf_dir, "documents")).drop("factors")
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_toxicity": op4_toxicity,
     "op5_multi_index": op5_multi_index,
+    "op6_partenum": op6_partenum,
     "op7_relative_lz": op7_relative_lz,
     "op8_warc_salvage": op8_warc_salvage,
     "op9_entropy_mix": op9_entropy_mix,
