@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard, lm, mixing, substring, token_store, toxicity, warc
+from . import ann, decontaminate, jaccard, lm, mixing, substring, suffix, token_store, toxicity, warc
 from .common import read
 
 #: Folder of public tokenizer files; a parameter of the operators.
@@ -25,6 +25,10 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
 
+def op2_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_file_table(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -60,6 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_difference_cover": op2_difference_cover,
     "op3_token_store": op3_token_store,
     "op4_toxicity": op4_toxicity,
     "op5_multi_index": op5_multi_index,

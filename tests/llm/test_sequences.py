@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from quillspan.llm import lm, substring
+from quillspan.llm import lm, substring, suffix
 
 from .fixtures import documents, real, rows
 
@@ -78,3 +78,42 @@ def test_substrings(spark, table):
         for f in r.factors:
             assert f.reference < r.doc_id and texts[r.doc_id][f.word : f.word + f.n_words] == texts[f.reference][f.reference_word : f.reference_word + f.n_words]
     assert substring.deduplicate(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("table", [documents, real])
+def test_suffixes(spark, table):
+    docs = table(spark)
+    data = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    want = []
+    for i, u, g in removed(data, 50, bytes):
+        runs = sum(x and not y for x, y in zip(g, [False, *g]))
+        want.append((i, len(u), sum(g), runs, hashlib.sha256(bytes(b for b, x in zip(u, g) if not x)).hexdigest()))
+    got = suffix.deduplicate(docs)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    assert sum(w[2] for w in want) > 0
+    assert suffix.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_difference_cover_order(spark, monkeypatch):
+    """Ranks agree with sorting the suffixes themselves, as far as the window reaches."""
+    import random
+
+    from quillspan.llm.common import Chunk, chunked, stored
+
+    r = random.Random(4)
+    texts = ["".join(r.choices("ab", k=r.randrange(0, 160))) for _ in range(30)] + ["ab" * 70, "a" * 130, "a" * 131]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pieces = chunked(docs)
+    back, rank_of = suffix.suffix_ranks(pieces, 4)
+
+    def out(c: Chunk, got):
+        import pyarrow as pa
+
+        return pa.table({"chunk": [c.name], "rank": [rank_of(suffix.Suffixes(c), got).tolist()], "text": [c.data.tobytes()], "ends": [c.offsets.tolist()]})
+
+    all_ = []
+    for row in stored(suffix.each_answered(pieces, back, out, "chunk string, rank array<long>, text binary, ends array<long>")).collect():
+        for a, b in zip(row.ends[:-1], row.ends[1:]):
+            all_ += [(row.rank[i], bytes(row.text[i:b][:54]).ljust(54, b"\0")) for i in range(a, b)]
+    all_.sort()
+    assert [t for _, t in all_] == sorted(t for _, t in all_) and len({x for x, _ in all_}) > 1000
