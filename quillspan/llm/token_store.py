@@ -13,6 +13,7 @@ one range of ids.  Null text is empty and gives the end id alone; an empty table
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -111,31 +112,76 @@ def load(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
     return [None if z else int(x) for x, z in zip(doc_ids, null)], before.astype(np.int64), Codes(levels, width)
 
 
+#: What a byte is, for cutting words: ASCII letters 1, other ASCII but space and apostrophe 2, anything else 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 2
+_KIND[0x27] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_ENCODERS: dict[str, "WordEncoder"] = {}
+
+
 class WordEncoder:
-    """Encodes texts by their words between ASCII spaces, each distinct word once.
+    """Encodes texts by their parts, each distinct part once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
-    Words are told apart by their 64-bit hash and length within a batch; the memory of earlier batches is
-    emptied when it holds `keep` words.
+    The tokenizer drops white space and never joins across it, nor across a border between an ASCII letter and
+    another ASCII character that is no apostrophe, so a text's ids are those of the parts between such borders.
+    Words with "<|" stay whole, as they may hold a special token.  Parts are told apart by their 64-bit hash;
+    what is known is kept from batch to batch, and emptied when it holds `keep` parts.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 1_500_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.start: dict[int, int] = {}
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        """One for each worker process."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
     def clear(self) -> None:
-        self.hashes, self.first, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.hashes, self.first, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        self.count = np.zeros(0, np.uint32)
+
+    def new_ids(self, texts: list[bytes]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        model, rest = self.tokenizer.model, []
+        for i, x in enumerate(texts):
+            if x.isalpha():  # of ASCII letters alone: only the lower-casing precedes the model
+                out.append([t.id for t in model.tokenize(x.lower().decode())])
+            else:
+                out.append(None)
+                rest.append(i)
+        for lo in range(0, len(rest), 1024):
+            part = rest[lo : lo + 1024]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all parts, and the parts before each document."""
+        starts, ends, _ = word_spans(data, offsets, SPACE_WORD)
+        kind = _KIND[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = kind[1:] + kind[:-1] == 3
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = False
+        special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        for w in np.unique(np.searchsorted(starts, special, "right") - 1).tolist():
+            cut[starts[w] + 1 : ends[w]] = False
+        inner = np.flatnonzero(cut)
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        return starts, ends, np.searchsorted(starts, offsets)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, and the ids before each (without end ids)."""
-        starts, ends, words = word_spans(data, offsets, SPACE_WORD)
-        if not len(starts):
+        if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        h = word_hashes(data, starts, ends, False)
-        uniq, at, back = np.unique(h, return_index=True, return_inverse=True)
+        starts, ends, words = self.parts(data, offsets)
+        uniq, at, back = np.unique(word_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
         if len(self.hashes) > self.keep:
             self.clear()
         place = np.searchsorted(self.hashes, uniq)
@@ -145,18 +191,18 @@ class WordEncoder:
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
-            got = []
-            for lo in range(0, len(texts), 4096):
-                got += [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+            got = self.new_ids([raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
             n = np.fromiter(map(len, got), np.int64, len(got))
             flat = np.fromiter((x for g in got for x in g), np.uint32, int(n.sum()))
+            if len(flat) and flat.max() > 0xFFFF:
+                self.pool = self.pool.astype(np.uint32)
             hashes = np.concatenate([self.hashes, uniq[new]])
             order = np.argsort(hashes, kind="stable")
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])[order]
-            self.count, self.hashes, self.pool = np.concatenate([self.count, n])[order], hashes[order], np.concatenate([self.pool.astype(np.uint32), flat])
+            self.first = np.concatenate([self.first, (len(self.pool) + np.cumsum(n) - n).astype(np.uint32)])[order]
+            self.count, self.hashes = np.concatenate([self.count, n.astype(np.uint32)])[order], hashes[order]
+            self.pool = np.concatenate([self.pool, flat.astype(self.pool.dtype)])
             place = np.searchsorted(self.hashes, uniq)
-        first, count = self.first[place][back], self.count[place][back]
+        first, count = self.first[place][back].astype(np.int64), self.count[place][back].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         index = np.repeat(first - total[:-1], count) + np.arange(total[-1])
         return self.pool[index].astype(np.uint32), total[words]
@@ -173,7 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base)
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.of(tokenizer)
         out = []
         for no, t in enumerate(slices(batches, "text")):
             data, offsets = utf8(t["text"])

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -25,7 +26,13 @@ def test_codes_round_trip_and_random_access():
         assert [codes[i] for i in range(0, len(ids), 37)] == ids[::37].tolist()
 
 
-@pytest.mark.parametrize("table", [documents, real])
+def odd(spark):
+    r = random.Random(2)
+    bits = ["ab", "Zé", "'s", "'", "n't", ".", "—", "12", "|", "<|", "<|endoftext|>", "endoftext", "e", "\u0301", "日", " ", "\u00a0", "\t", "'LL", "ß", "=", "\u0338", "\u2028", "_"]
+    return spark.createDataFrame([(i, "".join(r.choices(bits, k=r.randrange(30)))) for i in range(800)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("table", [documents, real, odd])
 def test_token_store(spark, table):
     from tokenizers import Tokenizer
 
