@@ -67,10 +67,10 @@ def solve(hist: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int = 60,
     return state.select("key", "lam")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, rate, copies; one row per row of docs."""
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, rate, copies, and the columns of keep; one row per row of docs."""
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), *keep)
     base = stored(base.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
     hist = base.groupBy("key", "source", "size", "salt").agg(F.count("*").alias("n"))
     hist = stored(hist)
@@ -83,9 +83,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
     smaller = by_size.select("key", "size", F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("size").rowsBetween(*past)), F.lit(0)).alias("_smaller"))
     salted = hist.select("key", "size", "salt", F.coalesce(F.sum("n").over(W.partitionBy("key", "size").orderBy("salt").rowsBetween(*past)), F.lit(0)).alias("_salted"))
     ahead = salted.join(smaller, ["key", "size"]).join(plan.select("key", "source_size", "target", "rate"), "key")
-    out = base.withColumn("_row", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("doc_id"))).join(ahead, ["key", "size", "salt"])
+    out = base.withColumn("_row", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("doc_id", *keep))).join(ahead, ["key", "size", "salt"])
     at, whole = F.col("_smaller") + F.col("_salted") + F.col("_row"), F.floor("rate")
     part = F.col("rate") - whole
     copies = whole + F.floor(at * part + 0.5) - F.floor((at - 1) * part + 0.5)
     out = out.withColumn("copies", F.least(copies, F.lit(int(cap))).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies", *keep)

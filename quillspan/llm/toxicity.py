@@ -12,7 +12,7 @@ Labels come from the training folds only, at most `sample` labelled documents of
 their id); mining, fitting and the model have that bound.  Scoring covers every document and whole texts.
 language, source and ids are never inputs of a score.
 
-Defined results: null and empty texts score by the bias alone; without labels of both classes the score is
+Defined results: null and empty texts score by the bias alone; without labelled documents of both classes the score is
 (toxic + 0.5) / (labelled + 2) for every document; repeated label rows of one document count as toxic if any
 does, null labels are ignored; repeated documents each get their row.
 """
@@ -227,6 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train=None) ->
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), t["toxic"].combine_chunks()], ["x", "toxic"])
 
     got = rows.mapInArrow(apply, "x binary, toxic int").toPandas()  # at most `sample` rows of a few hundred bytes
+    if got.toxic.nunique() < 2:
+        return Model(lexicon, np.zeros(0), (int(got.toxic.sum()) + 0.5) / (len(got) + 2))
     x = np.stack([np.frombuffer(r) for r in got.x])
     y = got.toxic.to_numpy().astype(float)
     v = votes(x)
