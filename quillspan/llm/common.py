@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,7 +193,7 @@ def bucket_rows(chunk: str, keys: np.ndarray, values: list[np.ndarray], buckets:
     cut = bucket_cuts(keys, buckets)
     full = np.flatnonzero(np.diff(cut))
     cols = [pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.string()), pa.array([pack_sorted(keys[cut[b] : cut[b + 1]]) for b in full], pa.binary())]
-    cols += [pa.array([v[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()) for v in values]
+    cols += [pa.array([planes(np.ascontiguousarray(v[cut[b] : cut[b + 1]])) for b in full], pa.binary()) for v in values]
     return pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "keys", *(f"v{i}" for i in range(len(values)))])
 
 
@@ -221,7 +222,7 @@ def exchange(rows: DataFrame, n_buckets: int, dtypes: list[str], answer: Answer,
             return
         keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
         sizes = np.array([len(k) for k in keys])
-        values = [np.concatenate([np.frombuffer(x, t) for x in table[f"v{i}"].to_pylist()]) for i, t in enumerate(dtypes)]
+        values = [np.concatenate([from_planes(x, t) for x in table[f"v{i}"].to_pylist()]) for i, t in enumerate(dtypes)]
         allk = np.concatenate(keys)
         del keys
         order = np.argsort(allk, kind="stable")
@@ -236,7 +237,7 @@ def exchange(rows: DataFrame, n_buckets: int, dtypes: list[str], answer: Answer,
         for lo in range(0, len(sizes), 64):
             hi = min(lo + 64, len(sizes))
             cols = [bucket.slice(lo, hi - lo).combine_chunks(), chunk.slice(lo, hi - lo).combine_chunks()]
-            cols += [pa.array([o[cut[r] : cut[r + 1]].tobytes() for r in range(lo, hi)], pa.binary()) for o in outs]
+            cols += [pa.array([planes(np.ascontiguousarray(o[cut[r] : cut[r + 1]])) for r in range(lo, hi)], pa.binary()) for o in outs]
             yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", *(f"a{i}" for i in range(n_out))])
 
     spread = rows.repartitionById(n_buckets, F.col("bucket"))
@@ -249,7 +250,7 @@ def answers(table: pa.Table, i: int, dtype: str) -> np.ndarray:
         return np.zeros(0, dtype)
     order = np.argsort(table["bucket"].to_numpy())
     blobs = table[f"a{i}"].to_pylist()
-    return np.concatenate([np.frombuffer(blobs[j], dtype) for j in order])
+    return np.concatenate([from_planes(blobs[j], dtype) for j in order])
 
 
 # ---------------------------------------------------------------- scratch
@@ -311,19 +312,24 @@ def from_planes(blob: bytes, dtype: str) -> np.ndarray:
 CHUNKS = "chunk string, doc_ids array<bigint>, folds binary, offsets binary, text binary"
 
 
-def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
-    """Documents packed into chunks and stored: ids, crc32 folds, offsets, and the zstd-compressed text of each chunk."""
+def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK_BYTES, apart: int | None = None) -> DataFrame:
+    """Documents packed into chunks and stored: ids, crc32 folds, offsets, and the zstd-compressed text of each chunk.
+
+    apart: a fold whose documents get chunks of their own, with names that end in "t".
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        part, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-        for no, t in enumerate(slices(batches, "text", limit)):
-            data, offsets = utf8(t["text"])
-            ids = t["doc_id"].combine_chunks()
-            cols = [pa.array([f"{part}-{no}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([t["fold"].to_numpy().astype(np.uint8).tobytes()], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([squeeze.compress(data.tobytes())], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["chunk", "doc_ids", "folds", "offsets", "text"])
+        part, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=2)
+        for no, whole in enumerate(slices(batches, "text", limit)):
+            for t, end in ((whole, ""),) if apart is None else ((whole.filter(pc.not_equal(whole["fold"], apart)), ""), (whole.filter(pc.equal(whole["fold"], apart)), "t")):
+                if t.num_rows:
+                    data, offsets = utf8(t["text"])
+                    ids = t["doc_id"].combine_chunks()
+                    cols = [pa.array([f"{part}-{no}{end}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([t["fold"].to_numpy().astype(np.uint8).tobytes()], pa.binary()), pa.array([planes(offsets)], pa.binary()), pa.array([squeeze.compress(data.tobytes())], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["chunk", "doc_ids", "folds", "offsets", "text"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), fold(doc_id).alias("fold"))
     return stored(rows.mapInArrow(pack, CHUNKS))
@@ -340,7 +346,7 @@ class Chunk:
         self.ids = get("doc_ids").values
         self.order = np.asarray(self.ids.fill_null(np.iinfo(np.int64).max)) if self.ids.null_count else self.ids.to_numpy()
         self.folds = np.frombuffer(get("folds").as_py(), np.uint8)
-        self.offsets = np.frombuffer(get("offsets").as_py(), np.int64)
+        self.offsets = from_planes(get("offsets").as_py(), "i8")
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("text").as_py(), max_output_size=max(1, int(self.offsets[-1]))), np.uint8)
 
 
@@ -364,8 +370,6 @@ def each_answered(store: DataFrame, back: dict[str, DataFrame], fn: Callable[[Ch
     names = list(back)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
         return fn(Chunk(left), {n: right.filter(pc.equal(right["exchange"], n)) for n in names})
 
     return store.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, schema)

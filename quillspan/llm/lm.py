@@ -26,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunk, answers, bucket_rows, buckets_schema, chunked, each_answered, each_chunk, exchange, in_group, mix, partitions, stored, word_hashes, word_spans
+from .common import Chunk, answers, bucket_rows, buckets_schema, chunked, each_answered, each_chunk, exchange, from_planes, in_group, mix, partitions, stored, word_hashes, word_spans
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 ORDER = 2
 HELD_OUT, TUNE = 1, 0
+#: Bytes of text in a chunk: the larger, the fewer n-grams are sent twice.
+CHUNK = 12 << 20
+#: Hashes of longer n-grams keep 56 bits; what collides there is one in millions and shifts an estimate, no more.
+_KEEP = np.uint64(0xFFFFFFFFFFFFFF00)
 #: Bins for each doubling of an estimate.
 BINS = 4
 
@@ -55,7 +59,7 @@ class Tokens:
         shorter = self.grams(order - 1)
         before[1:] = shorter[:-1]
         before[self.head] = END * np.uint64(order)
-        return mix(before * _STEP + self.t)
+        return mix(before * _STEP + self.t) & _KEEP
 
 
 def _sorted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +147,7 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    store = chunked(docs, doc_id, text)
+    store = chunked(docs, doc_id, text, CHUNK, TUNE)
 
     def totals(inverse: np.ndarray, values: list[np.ndarray], chunk_no: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         both = [in_group(inverse, starts, v, np.add) for v in values]
@@ -171,7 +175,7 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
         got = np.zeros(4, np.int64)
         for b in batches:
             for e, t, f in zip(*(b.column(i).to_pylist() for i in range(3))):
-                e, t, f = np.frombuffer(e, "u4").astype(np.int64), np.frombuffer(t, "u4").astype(np.int64), np.frombuffer(f, "u1")
+                e, t, f = from_planes(e, "u4").astype(np.int64), from_planes(t, "u4").astype(np.int64), from_planes(f, "u1")
                 got += [e[f > 0].sum(), (e + t)[f > 0].sum(), (f & 2 > 0).sum(), (f > 0).sum()]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in got], list("abcd"))
 
@@ -202,7 +206,8 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
         return pa.Table.from_arrays([*(pa.array(key[:, i]) for i in range(order + 1)), pa.array(n)], ["b", *(f"q{i}" for i in range(1, order + 1)), "n"])
 
     by = ["b", *(f"q{i}" for i in range(1, order + 1))]
-    found = each_answered(store, back, events, ", ".join(f"{x} long" for x in by) + ", n long").groupBy(*by).agg(F.sum("n").alias("n"))
+    tuned = {n: t.filter(F.col("chunk").endswith("t")) for n, t in back.items()}
+    found = each_answered(store.filter(F.col("chunk").endswith("t")), tuned, events, ", ".join(f"{x} long" for x in by) + ", n long").groupBy(*by).agg(F.sum("n").alias("n"))
     table = found.toPandas().to_numpy().astype(np.int64).reshape(-1, order + 2)  # bounded by the number of bins
     mixture = weight_of(learn(table, order, 1 / (est.types + 1)), order)
 

@@ -79,7 +79,7 @@ def _pack(c: Chunk, start: np.ndarray, size: np.ndarray, order: np.ndarray) -> p
     index = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     text = zstandard.ZstdCompressor(level=1).compress(c.data[index].tobytes())
-    cols = [pa.array([c.name]), pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(order.astype(np.int64))), pa.array([b""], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([text], pa.binary())]
+    cols = [pa.array([c.name]), pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(order.astype(np.int64))), pa.array([b""], pa.binary()), pa.array([planes(offsets)], pa.binary()), pa.array([text], pa.binary())]
     return pa.Table.from_arrays(cols, [x.split()[0] for x in CHUNKS.split(", ")])
 
 
@@ -305,7 +305,7 @@ def suffix_ranks(pieces: DataFrame, parts: int):  # noqa: ANN201
 
 def _total(pieces: DataFrame) -> int:
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(np.frombuffer(x, np.int64)[-1]) for b in batches for x in b.column(0).to_pylist())
+        n = sum(int(from_planes(x, "i8")[-1]) for b in batches for x in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
     return pieces.select("offsets").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
