@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import stored
 
 SAMPLE = 20_000
 CODES = 32
 SHARE = 0.55
 LEAST = 1_000
 #: Vectors of a cell that one unit holds at most, about, and of the units of one group.
-BLOCK, GROUP = 4_000, 20_000
+BLOCK, GROUP = 1_000, 5_000
 
 
 class Codebooks(NamedTuple):
@@ -129,7 +129,7 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, share: float
     index = stored(distinct.mapInArrow(assign, "key string, e array<double>, ids array<bigint>, cell int"))
     counts = {r.cell: r.n for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most codes * codes rows
     # a cell's vectors are dealt into units, and the units into groups, each of which is one task's work
-    first_unit, units, groups = {}, 0, max(partitions(spark), -(-n // GROUP))
+    first_unit, units, groups = {}, 0, max(16, -(-n // GROUP))
     for c in sorted(counts):
         first_unit[c] = units
         units += -(-counts[c] // BLOCK)
