@@ -107,3 +107,27 @@ def test_long_inputs_do_not_exhaust_the_stack(spark, name):
     bad = ["x@" + "a." * 100_000, "a-" * 100_000, "12 rue X, 75001 " + "Paris " * 40_000, "12 " * 70_000, "FR76" + " 1234" * 40_000, "www." + "a" * 200_000, "1.1." * 50_000, "12 RUE X 75001 " + "PARIS " * 30_000]
     df = spark.createDataFrame(list(enumerate(bad)), "doc_id long, text string")
     rules.candidates(df, [rules.BY_NAME[name]]).count()
+
+
+def greedy_lines(text, width):
+    lines, now = [], ""
+    for piece in regex.findall("[^ ]+| +", text):
+        if piece[0] == " ":
+            now += " " if now else ""
+            continue
+        for part in [piece[i : i + width] for i in range(0, len(piece), width)]:
+            if now and len(now) + len(part) > width:
+                lines.append(now.rstrip(" "))
+                now = ""
+            now += part
+    return lines + ([now.rstrip(" ")] if now.strip(" ") else [])
+
+
+def test_line_breaking(spark):
+    from quillspan.operators import typeset
+
+    r = random.Random(3)
+    data = ["".join(r.choices(["a", "bb", " ", "  ", "longerword"], k=r.randrange(30))) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, t string")
+    got = {x.doc_id: x.l for x in df.select("doc_id", typeset.break_lines(F.col("t"), F.lit(8)).alias("l")).collect()}
+    assert got == {i: greedy_lines(t, 8) for i, t in enumerate(data)}
