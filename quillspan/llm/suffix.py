@@ -35,7 +35,7 @@ from .common import _BYTE, CHUNKS, Chunk, answers, bucket_rows, buckets_schema,
 WINDOW, GRAM, WIDTH = 50, 20, 6
 #: One gram in so many, about, is a place where segments are cut.
 CUT = 256
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASES = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
 
 
@@ -117,27 +117,40 @@ def _kept(c: Chunk, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _key(*words: np.ndarray) -> np.ndarray:
-    """Triples of integers as strings that sort like them."""
-    out = np.zeros((len(words[0]), 3), ">u8")
+    """Triples of integers, a column each."""
+    out = np.zeros((3, len(words[0])), np.uint64)
     for i, x in enumerate(words):
-        out[:, i] = x
-    return out.reshape(-1).view("S24")
+        out[i] = x
+    return out
+
+
+def _distinct_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct triples, and which of them each is."""
+    order = np.lexsort(key[::-1])
+    new = np.ones(len(order), bool)
+    ordered = key[:, order]
+    new[1:] = (ordered[:, 1:] != ordered[:, :-1]).any(0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[:, new], back
 
 
 def _sent(chunk: str, key: np.ndarray, kind: np.ndarray, bucket_of) -> pa.RecordBatch:  # noqa: ANN001
     """Distinct keys with their numbers of each kind (0, 1), by bucket."""
-    uniq, back = np.unique(key, return_inverse=True)
-    n0, n1 = (np.bincount(back[kind == k], minlength=len(uniq)).astype(np.uint32) for k in (0, 1))
-    b = bucket_of(np.ascontiguousarray(uniq).view(">u8").reshape(-1, 3)[:, 0].astype(np.uint64))
+    uniq, back = _distinct_keys(key)
+    n0, n1 = (np.bincount(back[kind == k], minlength=uniq.shape[1]).astype(np.uint32) for k in (0, 1))
+    b = bucket_of(uniq[0])
     full, first = np.unique(b, return_index=True)
     cut = np.append(first, len(b))
     part = [slice(cut[i], cut[i + 1]) for i in range(len(full))]
-    blobs = [[planes(np.ascontiguousarray(x[p])) for p in part] for x in (np.ascontiguousarray(uniq).view("V24"), n0, n1)] if len(uniq) else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.string()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "chunk", "keys", "v0", "v1"])
+    keys = [b"".join(planes(np.ascontiguousarray(uniq[w, p])) for w in range(3)) for p in part]
+    counts = [[planes(np.ascontiguousarray(x[p])) for p in part] for x in (n0, n1)]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.string()), *(pa.array(x, pa.binary()) for x in (keys, *counts))], ["bucket", "chunk", "keys", "v0", "v1"])
 
 
-def _bytes_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(24, -1).T).reshape(-1).view("S24")
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    n = len(blob) // 3
+    return np.stack([from_planes(blob[w * n : (w + 1) * n], "u8") for w in range(3)])
 
 
 def count_smaller(rows: DataFrame, buckets: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
@@ -149,12 +162,12 @@ def count_smaller(rows: DataFrame, buckets: int) -> tuple[DataFrame, dict[int, t
         if not held:
             return
         t = pa.Table.from_batches(held)
-        keys = [_bytes_planes(x) for x in t["keys"].to_pylist()]
-        cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = [_unpack_keys(x) for x in t["keys"].to_pylist()]
+        cut = np.concatenate([[0], np.cumsum([k.shape[1] for k in keys])])
+        uniq, back = _distinct_keys(np.concatenate(keys, axis=1))
         less, total = [], []
         for v in ("v0", "v1"):
-            n = np.bincount(back, weights=np.concatenate([from_planes(x, "u4") for x in t[v].to_pylist()]), minlength=len(uniq)).astype(np.int64)
+            n = np.bincount(back, weights=np.concatenate([from_planes(x, "u4") for x in t[v].to_pylist()]), minlength=uniq.shape[1]).astype(np.int64)
             less.append((np.cumsum(n) - n)[back])
             total.append(int(n.sum()))
         cols = [t["bucket"].combine_chunks(), t["chunk"].combine_chunks()]
@@ -172,11 +185,11 @@ def count_smaller(rows: DataFrame, buckets: int) -> tuple[DataFrame, dict[int, t
 
 def _less(t: pa.Table, before: dict[int, tuple[int, int]], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What count_smaller() found for each of a chunk's keys."""
-    if not len(key):
+    if not key.shape[1]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bucket = t["bucket"].to_pylist()
     order = np.argsort(bucket)
-    back = np.unique(key, return_inverse=True)[1]
+    back = _distinct_keys(key)[1]
     out = []
     for i in (0, 1):
         blobs = t[f"a{i}"].to_pylist()
@@ -270,7 +283,7 @@ def suffix_ranks(pieces: DataFrame, parts: int):  # noqa: ANN201
 
     def first(c: Chunk) -> Iterator[pa.RecordBatch]:
         _, key = Suffixes(c).triples()
-        yield _sent(c.name, key, np.zeros(len(key), np.int8), by_symbol)
+        yield _sent(c.name, key, np.zeros(key.shape[1], np.int8), by_symbol)
 
     back["name"], before["name"] = count_smaller(each_chunk(pieces, first, schema), parts)
     n_sample = _total(pieces)
@@ -280,7 +293,7 @@ def suffix_ranks(pieces: DataFrame, parts: int):  # noqa: ANN201
     def second(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
         s = Suffixes(c)
         _, key = s.name_triples(names(s, got))
-        return pa.Table.from_batches([_sent(c.name, key, np.zeros(len(key), np.int8), by_name)])
+        return pa.Table.from_batches([_sent(c.name, key, np.zeros(key.shape[1], np.int8), by_name)])
 
     back["again"], before["again"] = count_smaller(each_answered(pieces, back, second, schema), parts)
 
