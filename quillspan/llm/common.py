@@ -8,8 +8,10 @@ a key that a third of all rows share weighs no more in its bucket than any other
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +203,13 @@ def buckets_schema(n: int) -> str:
     return "bucket int, chunk string, keys binary" + "".join(f", v{i} binary" for i in range(n))
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and what they keep counts."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -239,6 +248,8 @@ def exchange(rows: DataFrame, n_buckets: int, dtypes: list[str], answer: Answer,
             cols = [bucket.slice(lo, hi - lo).combine_chunks(), chunk.slice(lo, hi - lo).combine_chunks()]
             cols += [pa.array([planes(np.ascontiguousarray(o[cut[r] : cut[r + 1]])) for r in range(lo, hi)], pa.binary()) for o in outs]
             yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", *(f"a{i}" for i in range(n_out))])
+        del table, values, inverse, outs, cols
+        tidy()
 
     spread = rows.repartitionById(n_buckets, F.col("bucket"))
     return spread.mapInArrow(reduce, "bucket int, chunk string" + "".join(f", a{i} binary" for i in range(n_out)))
@@ -330,6 +341,7 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit:
                     ids = t["doc_id"].combine_chunks()
                     cols = [pa.array([f"{part}-{no}{end}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([t["fold"].to_numpy().astype(np.uint8).tobytes()], pa.binary()), pa.array([planes(offsets)], pa.binary()), pa.array([squeeze.compress(data.tobytes())], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["chunk", "doc_ids", "folds", "offsets", "text"])
+        tidy()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), fold(doc_id).alias("fold"))
     return stored(rows.mapInArrow(pack, CHUNKS))
@@ -350,6 +362,28 @@ class Chunk:
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("text").as_py(), max_output_size=max(1, int(self.offsets[-1]))), np.uint8)
 
 
+    def subset(self, docs: np.ndarray) -> Chunk:
+        """The same chunk with some of its documents only (by number, ascending)."""
+        out = object.__new__(Chunk)
+        size = np.diff(self.offsets)[docs]
+        out.name, out.ids, out.order, out.folds = self.name, self.ids.take(pa.array(docs)), self.order[docs], self.folds[docs] if len(self.folds) else self.folds
+        out.offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        out.data = self.data[np.repeat(self.offsets[:-1][docs] - out.offsets[:-1], size) + np.arange(out.offsets[-1])]
+        return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While rows are large, fewer of them go to a Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def each_chunk(store: DataFrame, fn: Callable[[Chunk], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn for every chunk of the stored table."""
 
@@ -357,6 +391,7 @@ def each_chunk(store: DataFrame, fn: Callable[[Chunk], Iterator[pa.RecordBatch]]
         for b in batches:
             for i in range(b.num_rows):
                 yield from fn(Chunk(b, i))
+                tidy()
 
     return store.mapInArrow(run, schema)
 
@@ -370,7 +405,9 @@ def each_answered(store: DataFrame, back: dict[str, DataFrame], fn: Callable[[Ch
     names = list(back)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return fn(Chunk(left), {n: right.filter(pc.equal(right["exchange"], n)) for n in names})
+        out = fn(Chunk(left), {n: right.filter(pc.equal(right["exchange"], n)) for n in names})
+        tidy()
+        return out
 
     return store.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, schema)
 
