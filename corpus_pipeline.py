@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each component of near-duplicates; documents without words are no one's copy."""
     rows = _tagged(docs)
-    joined = jaccard.join(rows.select("_quillspan_row", "text"), doc_id="_quillspan_row")
+    joined = jaccard.join(rows.select("_quillspan_row", "text"), doc_id="_quillspan_row", links=False)
     order = rows.select("_quillspan_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_quillspan_row").alias("_quillspan_order"))
     first = joined.withColumnRenamed("doc_id", "_quillspan_row").join(order, "_quillspan_row").groupBy("component_id").agg(F.min("_quillspan_order").alias("first"))
     keep = first.select(F.col("first._quillspan_row").alias("_quillspan_row"))

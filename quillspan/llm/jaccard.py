@@ -17,6 +17,9 @@ member is compared with all others, exactly; then, only where a group still has
 components, further members are, until no pair across components is left.  Components of the links found
 that way are those of all links.
 
+Similar sets lie in one component, so links are counted over all pairs of different sets of each component,
+exactly.  A component is cut into blocks by hash, and each pair of blocks is a group of its own.
+
 Defined results: null text and texts without words have 0 shingles, link with nothing and are their own
 component; texts of fewer words than a shingle are one shingle; a null id counts as the largest and its
 component is null if no other id is in it; repeated rows are copies; an empty table gives no rows.
@@ -44,6 +47,8 @@ SMALL = 13
 SAMPLE, FREQUENT, MOST = 100_000, 4, 1_000_000
 #: Bytes of text in a chunk.
 CHUNK = 2 << 20
+#: Sets and shingles of a block in which links are counted, about.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
 _NULL = (1 << 63) - 1
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -289,8 +294,92 @@ def compare(edges: DataFrame, store: DataFrame, vertices: DataFrame) -> DataFram
     return judged.unionByName(sifted.filter("not maybe").select("a", "b", F.lit(False).alias("linked")))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (of the document's set with other sets that were compared)."""
+def linked_in(grams: list[np.ndarray], left: np.ndarray, one_side: bool) -> np.ndarray:
+    """For each set, the number of similar ones on the other side (`left` tells the sides), or of all others if `one_side`.
+
+    Sets are held as differences from the majority's set, which keeps those of near copies short.
+    """
+    n = np.array([len(x) for x in grams])
+    _, at = np.unique(np.concatenate(grams), return_inverse=True)
+    of = np.repeat(np.arange(len(n)), n)
+    often = np.bincount(at)
+    most = 2 * often > len(n)
+    usual = np.flatnonzero(most)
+    rank = np.cumsum(most) - 1
+    has = np.zeros(len(usual), bool)
+    first = np.concatenate([[0], np.cumsum(n)])
+    odd = []
+    for i in range(len(n)):
+        mine = at[first[i] : first[i + 1]]
+        plain = most[mine]
+        has[:] = False
+        has[rank[mine[plain]]] = True
+        odd.append(np.concatenate([mine[~plain], usual[~has]]))
+    size = np.array([len(x) for x in odd])
+    el, of = np.concatenate(odd), np.repeat(np.arange(len(n)), size)
+    posted = np.flatnonzero(np.ones(len(of), bool) if one_side else ~left[of])
+    posted = posted[np.argsort(el[posted], kind="stable")]
+    start = np.searchsorted(el[posted], np.arange(len(often) + 1))
+    owner, others = of[posted], np.arange(len(n)) if one_side else np.flatnonzero(~left)
+    links = np.zeros(len(n), np.int64)
+    for i in np.flatnonzero(left).tolist():
+        lo, m = start[odd[i]], start[odd[i] + 1] - start[odd[i]]
+        hits = owner[np.repeat(lo - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        differ = size[i] + size[others] - 2 * np.bincount(hits, minlength=len(n))[others]
+        alike = others[differ * (100 + SIMILAR) <= (n[i] + n[others]) * (100 - SIMILAR)]
+        alike = alike[alike != i]
+        links[i] += len(alike)
+        if not one_side:
+            links[alike] += 1
+    return links
+
+
+def count_links(labels: DataFrame, store: DataFrame, classes: DataFrame) -> DataFrame:
+    """labels: v, label.  v, n_links: the other vertices of its component that are similar, each pair judged once, by the whole sets."""
+    member = labels.join(classes.select("v", "chunk", "n"), "v")
+    blocks = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("of"))
+    need = stored(member.join(blocks, "label").select("v", F.col("v").alias("member"), "chunk", "label", F.expr("cast(pmod(xxhash64(v), of) as int)").alias("block"), "of"))
+
+    def fetch(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
+        t = got["need"]
+        at = t["member"].to_numpy() & ((1 << 24) - 1)
+        docs = np.unique(at)
+        sets = Sets(c.subset(docs))
+        grams = pa.array([pack_sorted(sets.s[sets.first[i] : sets.first[i + 1]]) for i in np.searchsorted(docs, at).tolist()], pa.binary())
+        return pa.table({"v": t["v"], "label": t["label"], "block": t["block"], "of": t["of"], "grams": grams})
+
+    touched = store.join(need.select("chunk").distinct(), "chunk", "left_semi")
+    grams = each_answered(touched, {"need": need}, fetch, "v long, label long, block int, of int, grams binary")
+    tiles = grams.select("v", "label", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    tiles = tiles.select("v", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("block <= other").alias("left"), "grams")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            links = linked_in([unpack_sorted(x[2]) for x in held], np.array([x[1] for x in held]), key[1] == key[2])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array(links)], ["v", "k"])
+
+        for b in batches:
+            v, label, x, y, left, blobs = (c.to_pylist() for c in b.columns)
+            for i in range(b.num_rows):
+                if (label[i], x[i], y[i]) != key:
+                    if held:
+                        yield done()
+                    key, held = (label[i], x[i], y[i]), []
+                held.append((v[i], left[i], blobs[i]))
+        if held:
+            yield done()
+        tidy()
+
+    with small_batches(labels.sparkSession, 256):
+        spread = tiles.repartition(partitions(labels.sparkSession), "label", "x", "y").sortWithinPartitions("label", "x", "y")
+        counted = stored(spread.mapInArrow(count, "v long, k long"))
+    return counted.groupBy("v").agg(F.sum("k").alias("n_links"))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if `links`, n_links (how many other sets are similar to the document's)."""
     spark = docs.sparkSession
     parts = partitions(spark)
     store = chunked(docs, doc_id, text, CHUNK)
@@ -375,12 +464,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         lo, hi = hi, hi * 6
         still = now.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("of").alias("z")).filter(f"x != y and z > {lo}").select("g")
         now = stored(now.join(still, "g", "left_semi"))
-    links = tried.filter("linked").select("a", "b")
     label = classes.drop("sketch").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = label.groupBy("label").agg(F.min("least").alias("component"))
     done = label.join(least, "label").select("id1", "id2", "component", "v")
-    n_links = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count("*").alias("n_links"))
-    done = done.join(n_links, "v", "left")
+    if links:
+        done = done.join(count_links(labels, store, classes), "v", "left")
     out = rows.drop("sketch").join(done.drop("v"), ["id1", "id2"], "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("ord"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id"), *counts)

@@ -74,6 +74,43 @@ def test_components(spark, table, monkeypatch):
     assert sum(a != c for a, _, c in want) > 5
 
 
+def hot(spark):
+    """A group of distinct texts that all link with each other, and one in which only some do."""
+    r = random.Random(3)
+    base, out = [f"b{i}" for i in range(400)], []
+    for i in range(60):
+        out.append(" ".join([*base, f"x{i}"]))
+    for _ in range(60):
+        w = [f"c{i}" for i in range(300)]
+        for _ in range(r.randrange(1, 9)):
+            w[r.randrange(300)] = f"y{r.random()}"
+        out.append(" ".join(w))
+    out += out[:5]
+    return spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("table", [documents, real, near, hot])
+@pytest.mark.parametrize("block", [7, 512])
+def test_links(spark, table, block, monkeypatch):
+    """Every document has the number of other distinct sets that are similar to its own, also across blocks."""
+    monkeypatch.setattr("quillspan.llm.jaccard.BLOCK_SETS", block)
+    docs = table(spark).repartition(3)
+    sets = [(r.doc_id, frozenset(shingles(r.text))) for r in docs.collect()]
+    distinct = {s for _, s in sets if s}
+    links = {s: sum(a != s and 100 * len(a & s) >= 80 * len(a | s) for a in distinct) for s in distinct}
+    want = sorted([(i, links.get(s, 0)) for i, s in sets], key=repr)
+    assert rows(jaccard.join(docs), "doc_id", "n_links") == want
+
+
+def test_links_of_a_lone_side():
+    """A block whose partner is empty has no links with it."""
+    sets = [np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64)]
+    assert jaccard.linked_in(sets, np.array([True, True]), False).tolist() == [0, 0]
+    assert jaccard.linked_in(sets, np.array([False, False]), False).tolist() == [0, 0]
+    assert jaccard.linked_in(sets, np.array([True, True]), True).tolist() == [1, 1]
+    assert jaccard.linked_in(sets, np.array([True, False]), False).tolist() == [1, 1]
+
+
 def test_empty(spark):
     assert jaccard.join(documents(spark).limit(0)).count() == 0
 
