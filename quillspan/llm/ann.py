@@ -35,6 +35,8 @@ SHARE = 0.55
 LEAST = 1_000
 #: Vectors of a cell that one unit holds at most, about, and of the units of one group.
 BLOCK, GROUP = 1_000, 5_000
+#: Fast scores differ from exact ones by less than this.
+MARGIN = 1e-9
 
 
 class Codebooks(NamedTuple):
@@ -184,6 +186,14 @@ def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, share: float
                 near = np.hstack([top_s[qs], (a[qs] @ b[js].T) / na[qs, None] / nb[js][None]])
                 names_j = np.hstack([top_j[qs], np.broadcast_to(js, (len(qs), len(js)))])
                 best = np.argpartition(-near, spare - 1, axis=1)[:, :spare]
+                # where more than that may tie with the last one needed, exact scores and smaller ids decide among all of them
+                last = np.partition(np.take_along_axis(near, best, 1), spare - k - 1, axis=1)[:, spare - k - 1]
+                close = np.isfinite(near) & (near >= last[:, None] - MARGIN)
+                for r in np.flatnonzero(close.sum(1) > spare).tolist():
+                    at = np.flatnonzero(close[r])
+                    tied = names_j[r, at]
+                    s = (b[tied] * a[qs[r]]).sum(1) / (na[qs[r]] * nb[tied])
+                    best[r] = at[np.lexsort((least_id[tied], -s))[:spare]]
                 top_s[qs], top_j[qs] = np.take_along_axis(near, best, 1), np.take_along_axis(names_j, best, 1)
             for i in range(len(a)):
                 js = top_j[i][top_j[i] >= 0]

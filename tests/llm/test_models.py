@@ -57,6 +57,19 @@ def test_neighbours(spark):
     assert rows(ann.neighbours(df.filter("vec_id in (0, 1, 2)")), "query_id", "rank") == [(0, 1), (0, 2)]
 
 
+def test_many_ties(spark):
+    """Scaled copies of a vector tie exactly; the smaller ids are its neighbours, however many there are."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-8, 9, 8)
+    data = [(int(i), (base * 2.0**j).tolist()) for j, i in enumerate(rng.permutation(80))]
+    data += [(100 + i, rng.integers(-8, 9, 8).astype(float).tolist()) for i in range(100)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.neighbours(df, share=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: [i for i, _ in x] for q, x in brute(data).items()}
+
+
 def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in df.collect()])
