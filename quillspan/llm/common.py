@@ -9,6 +9,7 @@ a key that a third of all rows share weighs no more in its bucket than any other
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that make one chunk.
 CHUNK_BYTES = 4 << 20
+#: What a row weighs in a chunk besides its text, so that the number of rows of a chunk is bounded.
+ROW_BYTES = 16
 #: Bytes hashed at once; the power tables of this length stay in the CPU cache.
 SLICE = 1 << 17
 
@@ -77,13 +80,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
-    """Regroups batches into tables of about `limit` bytes of text; a longer text is a table of its own."""
+    """Regroups batches into tables of about `limit` bytes of text; a longer text is a table of its own.
+
+    A row counts as some bytes more than its text, so tables of empty texts end, too.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+        offsets = offsets + np.arange(len(offsets)) * ROW_BYTES
         at = 0
         while at < batch.num_rows:
             room = max(limit - size, 0)
@@ -268,11 +275,14 @@ def answers(table: pa.Table, i: int, dtype: str) -> np.ndarray:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; where none is set (tests), one is made and set."""
+    """A new folder in the cluster's shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         import tempfile
 
+        # one machine, one process: any folder is shared
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
@@ -289,13 +299,21 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes a stored table that nothing reads any more."""
-    path = getattr(df, "_quillspan_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def cleaned(spark: SparkSession) -> None:
+    """Lets Spark remove the files of shuffles whose plans are no longer in use, which it does as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_quillspan_path", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        cleaned(tables[0].sparkSession)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -347,6 +365,15 @@ def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit:
     return stored(rows.mapInArrow(pack, CHUNKS))
 
 
+def packed(c: Chunk, ids: pa.Array) -> pa.Table:
+    """A chunk as a row again, with other ids."""
+    import zstandard
+
+    text = zstandard.ZstdCompressor(level=2).compress(c.data.tobytes())
+    cols = [pa.array([c.name]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([c.folds.tobytes()], pa.binary()), pa.array([planes(c.offsets)], pa.binary()), pa.array([text], pa.binary())]
+    return pa.Table.from_arrays(cols, ["chunk", "doc_ids", "folds", "offsets", "text"])
+
+
 class Chunk:
     """One chunk, unpacked; a null id counts as the largest."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
         hop = labels.select(F.col("v").alias("_l"), F.col("label").alias("_far"))
         step = stored(step.join(hop, F.col("label") == F.col("_l"), "left").select("v", "was", F.least("label", "_far").alias("label")))
         changed = step.filter("was != label").limit(1).count()
-        labels = step.select("v", "label")
+        dropped(labels)
+        labels = step
         if not changed:
-            return labels
+            dropped(both)
+            out = step.select("v", "label")
+            out._quillspan_path = step._quillspan_path
+            return out

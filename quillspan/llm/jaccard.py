@@ -1,5 +1,7 @@
 """Exact Jaccard join of n-gram sets with PartEnum signatures.
 
+Equal sets are one vertex from the start, and only one document of each stands for them from there on.
+
 Sets are grouped by size bands, each reaching from l to l/0.8, so that similar sets lie in one band or in
 neighbouring ones.  For a band and the one below, similar sets differ in at most k elements.  The hashed
 domain is cut into n1 partitions of n2 parts, and for each partition every choice of n2-k2 of its parts gives
@@ -9,13 +11,16 @@ out instead.
 
 Signatures of fewer than `WEAK` elements are not sent, as they say little: a set with at most s partitions
 that have one cannot lose a partner by it.  A set with more of them sends a second series that is complete.
-The first series leaves out shingles that are frequent in a bounded sample of documents; leaving elements
-out of both sets never makes them differ more, so this, too, only saves work and decides nothing.
+The first series leaves out shingles that stand in `FREQUENT` vertices or more, counted over all of them;
+leaving elements out of both sets never makes them differ more, so this only saves work and decides nothing.
 
-Sets that share a signature form a group.  Equal sets are one vertex from the start.  In each group the first
-member is compared with all others, exactly; then, only where a group still has members in different
-components, further members are, until no pair across components is left.  Components of the links found
-that way are those of all links.
+Vertices that share a signature form a group, whose large ones are dealt into tiles.  Within a tile all
+pairs are held against each other by sketches, which rule out pairs without loss, and what is left is
+reduced to a spanning forest; small groups give all their pairs.  The forests' edges are judged by the whole
+sets, and the linked ones joined to components.  In a tile of a large group that still has a pair that the
+sketches let pass across two components, the vertices of such pairs are then held against each other by
+their whole sets.  Every linked pair shares a group and passes its sketches, so after that both its ends lie
+in one component.
 
 Similar sets lie in one component, so links are counted over all pairs of different sets of each component,
 exactly.  A component is cut into blocks by hash, and each pair of blocks is a group of its own.
@@ -33,18 +38,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Chunk, bucket_rows, buckets_schema, chunked, each_answered, each_chunk, from_planes, mix, pack_sorted, partitions, small_batches, stored, tidy, unpack_sorted, window_ok, windows, word_hashes, word_spans
+from .common import CHUNKS, Chunk, answers, bucket_rows, buckets_schema, chunked, cleaned, dropped, each_answered, each_chunk, exchange, from_planes, mix, pack_sorted, packed, partitions, small_batches, stored, tidy, unpack_sorted, window_ok, windows, word_hashes, word_spans
 from .graph import components
 
 WORDS, SIMILAR = 5, 80
 WEAK = 2
 #: Sets up to this size enumerate subsets with elements left out.
 SMALL = 13
-#: Documents of the sample that tells frequent shingles, at most about; how often they must be in it; and how many are kept.
-SAMPLE, FREQUENT, MOST = 100_000, 4, 1_000_000
+#: A shingle of so many vertices is frequent.
+FREQUENT = 64
+#: A group up to this size gives all its pairs; vertices of a tile, about.
+FEW, TILE = 8, 4096
 #: Bytes of text in a chunk.
 CHUNK = 2 << 20
 #: Sets and shingles of a block in which links are counted, about.
@@ -168,18 +174,14 @@ def _series(s: np.ndarray, d: np.ndarray, docs: np.ndarray, n: np.ndarray, band:
     return keys, who, np.concatenate(short) if short else np.zeros(0, np.int64)
 
 
-def signatures(sets: Sets, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted signature keys and their documents."""
+def signatures(sets: Sets, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted signature keys and their documents; rare: which elements the first series takes."""
     keys, who = _small(sets)
     ends = bands(int(sets.n.max(initial=1)))
     own = np.searchsorted(ends, sets.n[sets.own])
     docs, band = np.concatenate([sets.own, sets.own]), np.concatenate([own, own + 1])
     use = ends[band] > SMALL
     docs, band = docs[use], band[use]
-    rare = np.ones(len(sets.s), bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, sets.s), len(frequent) - 1)
-        rare = frequent[at] != sets.s
     k, w, short = _series(sets.s[rare], sets.d[rare], docs, sets.n[docs], band, ends, False)
     k2, w2, _ = _series(sets.s, sets.d, docs[short], sets.n[docs[short]], band[short], ends, True)
     keys, who = np.concatenate([*keys, *k, *k2, np.zeros(0, np.uint64)]), np.concatenate([*who, *w, *w2, np.zeros(0, np.int64)]).astype(np.uint32)
@@ -199,15 +201,200 @@ def sketches(sets: Sets) -> list[bytes | None]:
     return [odd[a // 8 : b // 8] if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def may_link(x: bytes, y: bytes, n: int) -> bool:
-    """Could sets of n elements together, with these sketches, be similar?"""
-    if len(x) < len(y):
-        x, y = y, x
-    a, b, m = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
-    while m > 8 * len(y):
-        m //= 2
-        a = (a >> m) ^ (a & ((1 << m) - 1))
-    return (a ^ b).bit_count() * (100 + SIMILAR) <= n * (100 - SIMILAR)
+class Sketches:
+    """Sketches of a batch, and which pairs they let pass."""
+
+    def __init__(self, column: pa.Array, n: np.ndarray) -> None:
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.words = np.frombuffer(bytes(column.buffers()[2])[offsets[0] : offsets[-1]], np.uint64)
+        self.at, self.size, self.n = (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8, n
+
+    def rows(self, who: np.ndarray, size: int, to: int) -> np.ndarray:
+        """Sketches of one size, folded."""
+        x = self.words[self.at[who][:, None] + np.arange(size)]
+        while size > to:
+            size //= 2
+            x = x[:, :size] ^ x[:, size:]
+        return x
+
+    def matrix(self, who: np.ndarray) -> np.ndarray:
+        """Sketches folded to the least size among them."""
+        to = int(self.size[who].min())
+        out = np.empty((len(who), to), np.uint64)
+        for size in np.unique(self.size[who]).tolist():
+            mine = self.size[who] == size
+            out[mine] = self.rows(who[mine], size, to)
+        return out
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Could the pairs (a, b) be similar?"""
+        out = sizes_alike(self.n[a], self.n[b])
+        left = np.flatnonzero(out)
+        kind = self.size[a[left]] * (1 << 32) + self.size[b[left]]
+        for k in np.unique(kind).tolist():
+            p, q = k >> 32, k & 0xFFFFFFFF
+            mine = left[kind == k]
+            for lo in range(0, len(mine), max(1, (1 << 20) // max(p, q))):
+                i = mine[lo : lo + max(1, (1 << 20) // max(p, q))]
+                differ = np.bitwise_count(self.rows(a[i], p, min(p, q)) ^ self.rows(b[i], q, min(p, q))).sum(1, dtype=np.int64)
+                out[i] = differ * (100 + SIMILAR) <= (self.n[a[i]] + self.n[b[i]]) * (100 - SIMILAR)
+        return out
+
+
+def sizes_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(x, y) >= SIMILAR * np.maximum(x, y)
+
+
+def forest(m: int, near, side: np.ndarray | None) -> tuple[list[int], list[int]]:  # noqa: ANN001
+    """Edges of a spanning forest of the pairs that near(i, others) lets pass; with sides, only across them."""
+    new, out_a, out_b = np.ones(m, bool), [], []
+    for root in range(m):
+        if not new[root]:
+            continue
+        new[root] = False
+        queue = [root]
+        while queue:
+            i = queue.pop()
+            rest = np.flatnonzero(new if side is None else new & (side != side[i]))
+            if len(rest):
+                found = rest[near(i, rest)]
+                new[found] = False
+                out_a += [i] * len(found)
+                out_b += found.tolist()
+                queue += found.tolist()
+    return out_a, out_b
+
+
+def in_tiles(found: DataFrame) -> DataFrame:
+    """found: g, m, v and further columns, m being the size of g.  Adds tile x, y of g and whether v is on its left side."""
+    of = F.ceil(F.col("m") / TILE).cast("int")
+    block = F.pmod(F.xxhash64("v"), of.cast("long")).cast("int")
+    rows = found.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), of - 1)))
+    return rows.select("g", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("block <= other").alias("left"), *[c for c in found.columns if c != "g"])
+
+
+def each_tile(tiles: DataFrame, fn, schema: str) -> DataFrame:  # noqa: ANN001
+    """fn(batch, bounds) for runs of whole tiles; bounds: where each begins, and the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = [b.column(i).to_numpy() for i in range(3)]
+            new = np.ones(b.num_rows, bool)
+            new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+            new[0] = last is None or last != tuple(k[0] for k in key)
+            last = tuple(k[-1] for k in key)
+            start = np.flatnonzero(new)
+            if len(start) and (held or start[-1] > 0):
+                yield from whole(pa.concat_batches([*held, b.slice(0, int(start[-1]))]))
+                held = []
+            held.append(b.slice(int(start[-1]) if len(start) else 0))
+        if held:
+            yield from whole(pa.concat_batches(held))
+        tidy()
+
+    def whole(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if b.num_rows:
+            key = [b.column(i).to_numpy() for i in range(3)]
+            new = np.ones(b.num_rows, bool)
+            new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+            # the same group comes once from each bucket that has a signature of its members
+            v = b.column(b.schema.get_field_index("v")).to_numpy()
+            keep = new.copy()
+            keep[1:] |= v[1:] != v[:-1]
+            if not keep.all():
+                b, new = b.filter(pa.array(keep)), new[keep]
+            yield from fn(b, np.append(np.flatnonzero(new), b.num_rows))
+
+    keys = ["g", "x", "y"]
+    spread = tiles.repartition(partitions(tiles.sparkSession), *keys).sortWithinPartitions(*keys, "v")
+    return spread.mapInArrow(run, schema)
+
+
+def candidates(b: pa.RecordBatch, bounds: np.ndarray, few: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of each tile that are to be judged: all that pass in small groups, a spanning forest in others."""
+    get = lambda c: b.column(b.schema.get_field_index(c))
+    v, left = get("v").to_numpy(), get("left").to_numpy(zero_copy_only=False)
+    sk = Sketches(get("sketch"), get("n").to_numpy())
+    size, out = np.diff(bounds), []
+    for k in range(2, few + 1):
+        first = bounds[:-1][size == k]
+        if len(first):
+            i, j = (np.array(x) for x in zip(*combinations(range(k), 2)))
+            i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            ok = sk.alike(i, j)
+            out.append((i[ok], j[ok]))
+    x, y = get("x").to_numpy(), get("y").to_numpy()
+    for lo, k in zip(bounds[:-1][size > few].tolist(), size[size > few].tolist()):
+        who = np.arange(lo, lo + k)
+        m, n = sk.matrix(who), sk.n[who]
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            differ = np.bitwise_count(m[rest] ^ m[i]).sum(1, dtype=np.int64)  # noqa: B023
+            return (differ * (100 + SIMILAR) <= (n[rest] + n[i]) * (100 - SIMILAR)) & sizes_alike(n[rest], n[i])  # noqa: B023
+
+        i, j = forest(k, near, None if x[lo] == y[lo] else left[who])
+        out.append((lo + np.array(i, np.int64), lo + np.array(j, np.int64)))
+    if out:
+        i, j = (np.concatenate(z) for z in zip(*out))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], ["a", "b"])
+
+
+def still_open(b: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Vertices of each tile that have a pair that passes with a vertex of another component."""
+    get = lambda c: b.column(b.schema.get_field_index(c))
+    label, left = get("label").to_numpy(), get("left").to_numpy(zero_copy_only=False)
+    x, y = get("x").to_numpy(), get("y").to_numpy()
+    sk = Sketches(get("sketch"), get("n").to_numpy())
+    hit = np.zeros(b.num_rows, bool)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        own = label[lo:hi]
+        if (own == own[0]).all():
+            continue
+        m, n = sk.matrix(np.arange(lo, hi)), sk.n[lo:hi]
+        for i in range(hi - lo):
+            rest = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+            if x[lo] != y[lo]:
+                rest = rest[left[lo + rest] != left[lo + i]]
+            if len(rest):
+                differ = np.bitwise_count(m[rest] ^ m[i]).sum(1, dtype=np.int64)
+                found = rest[(differ * (100 + SIMILAR) <= (n[rest] + n[i]) * (100 - SIMILAR)) & sizes_alike(n[rest], n[i])]
+                if len(found):
+                    hit[lo + i] = hit[lo + found] = True
+    if hit.any():
+        yield b.filter(pa.array(hit)).select(["g", "x", "y", "left", "v"])
+
+
+def linked_forest(b: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each tile, a spanning forest of its similar pairs, judged by the whole sets."""
+    get = lambda c: b.column(b.schema.get_field_index(c))
+    v, left, grams = get("v").to_numpy(), get("left").to_numpy(zero_copy_only=False), get("grams")
+    x, y = get("x").to_numpy(), get("y").to_numpy()
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo < 2:
+            continue
+        sets = [unpack_sorted(grams[i].as_py()) for i in range(lo, hi)]
+        n = np.array([len(s) for s in sets])
+        _, el = np.unique(np.concatenate(sets), return_inverse=True)
+        of = np.repeat(np.arange(len(n)), n)
+        first = np.concatenate([[0], np.cumsum(n)])
+        by = np.argsort(el, kind="stable")
+        owner, start = of[by], np.searchsorted(el[by], np.arange(int(el.max()) + 2))
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            mine = el[first[i] : first[i + 1]]  # noqa: B023
+            at, m = start[mine], start[mine + 1] - start[mine]  # noqa: B023
+            both = np.bincount(owner[np.repeat(at - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=len(n))[rest]  # noqa: B023
+            return 100 * both >= SIMILAR * (n[i] + n[rest] - both)  # noqa: B023
+
+        i, j = forest(hi - lo, near, None if x[lo] == y[lo] else left[lo:hi])
+        if i:
+            i, j = v[lo + np.array(i)], v[lo + np.array(j)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
 
 def number(chunk: str) -> int:
@@ -216,63 +403,22 @@ def number(chunk: str) -> int:
     return part << 44 | no << 24
 
 
-def frequent_shingles(store: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles of several documents of a bounded sample; at most MOST of them, so they can be sent to all."""
-    limit = int(min(1 / 16, SAMPLE / max(n_docs, 1)) * (1 << 32))
-
-    def one(c: Chunk) -> Iterator[pa.RecordBatch]:
-        sets = Sets(c.subset(np.flatnonzero((mix(c.order.view(np.uint64)) >> np.uint64(32)).astype(np.int64) < limit)))
-        # equal sets of a chunk count once: copies say nothing about passages
-        s, n = np.unique(sets.s[np.isin(sets.d, sets.own)], return_counts=True)
-        yield bucket_rows(c.name, s, [n.astype(np.uint32)], partitions_)
-
-    partitions_ = partitions(store.sparkSession)
+def sets_of(store: DataFrame, need: DataFrame) -> DataFrame:
+    """need: v, chunk (distinct).  v, grams: the whole set of each."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        s = np.concatenate([unpack_sorted(x) for x in t["keys"].to_pylist()])
-        n = np.concatenate([from_planes(x, "u4") for x in t["v0"].to_pylist()])
-        key, back = np.unique(s, return_inverse=True)
-        total = np.bincount(back, weights=n).astype(np.int64)
-        at = total >= FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(total[at])], ["s", "n"])
+    def fetch(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
+        v = np.sort(got["need"]["v"].to_numpy())
+        sets = Sets(c.subset(np.searchsorted(c.order, v)))
+        return pa.table({"v": v, "grams": pa.array([pack_sorted(sets.s[sets.first[i] : sets.first[i + 1]]) for i in range(len(v))], pa.binary())})
 
-    spread = each_chunk(store, one, buckets_schema(1)).repartitionById(partitions_, F.col("bucket")).mapInArrow(count, "s long, n long")
-    top = spread.orderBy(F.col("n").desc(), "s").limit(MOST).select("s").toArrow()["s"].to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
+    touched = store.join(need.select("chunk").distinct(), "chunk", "left_semi")
+    return each_answered(touched, {"need": need}, fetch, "v long, grams binary")
 
 
 def compare(edges: DataFrame, store: DataFrame, vertices: DataFrame) -> DataFrame:
-    """edges: a, b (vertices).  Adds linked: 100 * intersection >= 80 * union, over the whole sets.
-
-    Sketches rule out most pairs that are not similar; the sets themselves decide on the others.
-    """
-
-    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                maybe = [may_link(x, y, n) for x, y, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maybe)], ["a", "b", "maybe"])
-        tidy()
-
-    side = lambda x: vertices.select(F.col("v").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", F.expr("na + nb").alias("n"))
-    sifted = stored(both.mapInArrow(rule_out, "a long, b long, maybe boolean"))
-    edges = sifted.filter("maybe").select("a", "b")
-    need = stored(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().join(vertices, "v").select("v", "member", "chunk"))
-
-    def fetch(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        t = got["need"]
-        at = t["member"].to_numpy() & ((1 << 24) - 1)
-        docs = np.unique(at)
-        sets = Sets(c.subset(docs))
-        return pa.table({"v": t["v"], "grams": pa.array([pack_sorted(sets.s[sets.first[i] : sets.first[i + 1]]) for i in np.searchsorted(docs, at).tolist()], pa.binary())})
-
-    touched = store.join(need.select("chunk").distinct(), "chunk", "left_semi")
-    grams = stored(each_answered(touched, {"need": need}, fetch, "v long, grams binary"))
+    """edges: a, b (vertices).  Those with 100 * intersection >= 80 * union, over the whole sets."""
+    need = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().join(vertices.select("v", "chunk"), "v")
+    grams = stored(sets_of(store, need))
     pairs = edges.join(grams.select(F.col("v").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("v").alias("b"), F.col("grams").alias("gb")), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,12 +432,14 @@ def compare(edges: DataFrame, store: DataFrame, vertices: DataFrame) -> DataFram
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 out.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
             if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["a", "b", "linked"])
+                ok = pa.array(out)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
         tidy()
 
     with small_batches(edges.sparkSession, 256):
-        judged = stored(pairs.select("a", "b", "ga", "gb").mapInArrow(judge, "a long, b long, linked boolean"))
-    return judged.unionByName(sifted.filter("not maybe").select("a", "b", F.lit(False).alias("linked")))
+        linked = stored(pairs.select("a", "b", "ga", "gb").mapInArrow(judge, "a long, b long"))
+    dropped(grams)
+    return linked
 
 
 def linked_in(grams: list[np.ndarray], left: np.ndarray, one_side: bool) -> np.ndarray:
@@ -338,18 +486,8 @@ def count_links(labels: DataFrame, store: DataFrame, classes: DataFrame) -> Data
     """labels: v, label.  v, n_links: the other vertices of its component that are similar, each pair judged once, by the whole sets."""
     member = labels.join(classes.select("v", "chunk", "n"), "v")
     blocks = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("of"))
-    need = stored(member.join(blocks, "label").select("v", F.col("v").alias("member"), "chunk", "label", F.expr("cast(pmod(xxhash64(v), of) as int)").alias("block"), "of"))
-
-    def fetch(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        t = got["need"]
-        at = t["member"].to_numpy() & ((1 << 24) - 1)
-        docs = np.unique(at)
-        sets = Sets(c.subset(docs))
-        grams = pa.array([pack_sorted(sets.s[sets.first[i] : sets.first[i + 1]]) for i in np.searchsorted(docs, at).tolist()], pa.binary())
-        return pa.table({"v": t["v"], "label": t["label"], "block": t["block"], "of": t["of"], "grams": grams})
-
-    touched = store.join(need.select("chunk").distinct(), "chunk", "left_semi")
-    grams = each_answered(touched, {"need": need}, fetch, "v long, label long, block int, of int, grams binary")
+    need = stored(member.join(blocks, "label").select("v", "chunk", "label", F.expr("cast(pmod(xxhash64(v), of) as int)").alias("block"), "of"))
+    grams = sets_of(store, need.select("v", "chunk")).join(need.drop("chunk"), "v")
     tiles = grams.select("v", "label", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
     tiles = tiles.select("v", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.expr("block <= other").alias("left"), "grams")
 
@@ -374,30 +512,37 @@ def count_links(labels: DataFrame, store: DataFrame, classes: DataFrame) -> Data
 
     with small_batches(labels.sparkSession, 256):
         spread = tiles.repartition(partitions(labels.sparkSession), "label", "x", "y").sortWithinPartitions("label", "x", "y")
-        counted = stored(spread.mapInArrow(count, "v long, k long"))
-    return counted.groupBy("v").agg(F.sum("k").alias("n_links"))
+        counted = stored(spread.mapInArrow(count, "v long, k long").groupBy("v").agg(F.sum("k").alias("n_links")))
+    dropped(need)
+    return counted
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id and, if `links`, n_links (how many other sets are similar to the document's)."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    store = chunked(docs, doc_id, text, CHUNK)
+def grouped(store: DataFrame, parts: int, total: int) -> DataFrame:
+    """store: one document for each vertex, with the vertex as its id.  g, m, v: groups of vertices that share signatures.
 
-    def describe(c: Chunk) -> Iterator[pa.RecordBatch]:
-        sets, base = Sets(c), number(c.name)
-        cols = [c.ids, pa.array(c.order), pa.array(sets.n), pa.array(sets.id1.view(np.int64)), pa.array(sets.id2.view(np.int64)), pa.array(base + sets.member), pa.array([c.name] * len(c.ids)), pa.array(sketches(sets), pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ord", "n", "id1", "id2", "member", "chunk", "sketch"])
+    Keys of shingles and signatures are sent with as many bits as their number (about `total`) asks for and 12 or
+    more besides.  Keys that fall together make one in some thousands of groups larger, or a shingle frequent, in the
+    same way for all who have it: that costs a little and decides nothing.
+    """
+    bits = min(64, -(-(int(total).bit_length() + 12) // 8) * 8)
+    mask = np.uint64(((1 << bits) - 1) << (64 - bits))
 
-    rows = stored(each_chunk(store, describe, "doc_id long, ord long, n long, id1 long, id2 long, member long, chunk string, sketch binary"))
-    # one vertex for equal sets: the smallest member number
-    classes = rows.filter("n > 0").groupBy("id1", "id2").agg(F.min(F.struct("member", "chunk")).alias("m"), F.min("ord").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes.select("id1", "id2", F.col("m.member").alias("v"), F.col("m.chunk").alias("chunk"), "least", "n", "sketch"))
-    vertices = classes.select("v", F.col("v").alias("member"), "chunk", "n", "sketch")
-    sent = spark.sparkContext.broadcast(frequent_shingles(store, rows.count()))
+    def shingles(c: Chunk) -> Iterator[pa.RecordBatch]:
+        s, n = np.unique(Sets(c).s & mask, return_counts=True)
+        yield bucket_rows(c.name, s, [n.astype(np.uint32)], parts)
+
+    def often(inverse: np.ndarray, values: list[np.ndarray], chunk_no: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        return [(np.bincount(inverse, weights=values[0], minlength=len(starts)) >= FREQUENT)[inverse].astype(np.uint8)]
 
-    def send(c: Chunk) -> Iterator[pa.RecordBatch]:
-        yield bucket_rows(c.name, *(lambda k, w: (k, [w]))(*signatures(Sets(c), sent.value)), parts)
+    flags = stored(exchange(each_chunk(store, shingles, buckets_schema(1)), parts, ["u4"], often, 1))
+    cleaned(store.sparkSession)
+
+    def send(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
+        sets = Sets(c)
+        frequent = answers(got["flags"], 0, "u1") > 0
+        rare = ~frequent[np.unique(sets.s & mask, return_inverse=True)[1]] if len(sets.s) else np.zeros(0, bool)
+        keys, who = signatures(sets, rare)
+        return pa.Table.from_batches([bucket_rows(c.name, keys & mask, [(c.order[who] - number(c.name)).astype(np.uint32)], parts)])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -420,7 +565,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: boo
         if not len(first):
             return
         size = np.diff(np.append(first, len(keys)))
-        # signatures of the same members are one group
+        # signatures of the same vertices are one group
         marks = np.add.reduceat(mix(who.view(np.uint64)), first)
         _, one = np.unique(marks, return_index=True)
         one = one[size[one] > 1]
@@ -428,48 +573,70 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: boo
             pick = one[lo : lo + 4096]
             n = size[pick]
             at = np.repeat(first[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(marks[pick].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(who[at]))], ["g", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(marks[pick].view(np.int64), n)), pa.array(np.repeat(n, n)), pa.array(who[at])], ["g", "m", "v"])
         del t, keys, who, order, new
         tidy()
 
-    found = each_chunk(store, send, buckets_schema(1)).repartitionById(parts, F.col("bucket")).mapInArrow(groups, "g long, members array<bigint>")
-    found = stored(found)
-    found = stored(found.groupBy("g").agg(F.first("members").alias("members")))
-    to_vertex = stored(rows.filter("n > 0").select("member", "id1", "id2").distinct().join(classes.select("id1", "id2", "v", "n"), ["id1", "id2"]).select("member", "v", "n"))
-    alike = f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
-    end = lambda x: to_vertex.select(F.col("member").alias(f"m{x}"), F.col("v").alias(x), F.col("n").alias(f"n{x}"))
-    # first all members of each group with its first one
-    star = found.select(F.get("members", F.lit(0)).alias("ma"), F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("mb")).distinct()
-    edges = stored(star.join(end("a"), "ma").join(end("b"), "mb").filter("a != b").filter(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    tried = compare(edges, store, vertices)
-    labels = components(tried.filter("linked"))
-    # then, in groups that still have members in several components, further ones, across components only
-    label_of = lambda t: t.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    each = found.select("g", F.explode("members").alias("member")).join(label_of(to_vertex), "member").select("g", "v", "n", "label")
-    still = each.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("g")
-    w = W.partitionBy("g")
-    now = each.join(still, "g", "left_semi").select("g", "v", "n", "label").distinct()
-    now = stored(now.withColumn("place", F.row_number().over(w.orderBy("v")) - 1).withColumn("of", F.count("*").over(w)))
-    lo, hi = 0, 4
-    while now.filter(f"of > {lo}").limit(1).count():
-        pivots = now.filter(f"place >= {lo} and place < {hi}").select("g", F.col("v").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("pa"))
-        pairs = pivots.join(now.select("g", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "place"), "g").filter("place > pa and la != lb")
-        edges = stored(pairs.filter(alike).select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        if edges.limit(1).count():
-            judged = compare(edges, store, vertices)
-            tried = tried.unionByName(judged)
-            if judged.filter("linked").limit(1).count():
-                labels = components(tried.filter("linked"))
-                now = label_of(now.drop("label")).select("g", "v", "n", "label", "place", "of")
-        lo, hi = hi, hi * 6
-        still = now.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("of").alias("z")).filter(f"x != y and z > {lo}").select("g")
-        now = stored(now.join(still, "g", "left_semi"))
+    sent = each_answered(store, {"flags": flags}, send, buckets_schema(1))
+    found = stored(sent.repartitionById(parts, F.col("bucket")).mapInArrow(groups, "g long, m long, v long"))
+    dropped(flags)
+    return found
+
+
+def linked_components(store: DataFrame, vertices: DataFrame, parts: int) -> DataFrame:
+    """v, label: the least vertex of each component of similar sets, for all vertices that have a link."""
+    tiles = in_tiles(found := grouped(store, parts, vertices.agg(F.sum("n")).first()[0] or 0)).join(vertices.select("v", "n", "sketch"), "v").select("g", "x", "y", "left", "m", "v", "n", "sketch")
+    few = FEW
+    edges = stored(each_tile(tiles, lambda b, bounds: candidates(b, bounds, few), "a long, b long").distinct())
+    links = compare(edges, store, vertices)
+    dropped(edges)
+    labels = components(links)
+    # large groups gave a forest only; what passes across components is judged by the whole sets
+    label = F.coalesce("label", "v").alias("label")
+    rest = tiles.filter(F.col("m") > few).join(labels, "v", "left").select("g", "x", "y", "left", "v", "n", "sketch", label)
+    rest = stored(each_tile(rest, still_open, "g long, x int, y int, left boolean, v long"))
+    if not rest.isEmpty():
+        grams = stored(sets_of(store, rest.select("v").distinct().join(vertices.select("v", "chunk"), "v")))
+        with small_batches(store.sparkSession, 256):
+            more = stored(each_tile(rest.join(grams, "v").select("g", "x", "y", "left", "v", "grams"), linked_forest, "a long, b long").distinct())
+        links, before = stored(links.unionByName(more)), links
+        dropped(before, more, grams, labels)
+        labels = components(links)
+    dropped(rest, links, found)
+    return labels
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if `links`, n_links (how many other sets are similar to the document's)."""
+    parts = partitions(docs.sparkSession)
+    whole = chunked(docs, doc_id, text, CHUNK)
+
+    def describe(c: Chunk) -> Iterator[pa.RecordBatch]:
+        sets, base = Sets(c), number(c.name)
+        cols = [c.ids, pa.array(c.order), pa.array(sets.n), pa.array(sets.id1.view(np.int64)), pa.array(sets.id2.view(np.int64)), pa.array(base + sets.member), pa.array([c.name] * len(c.ids)), pa.array(sketches(sets), pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ord", "n", "id1", "id2", "member", "chunk", "sketch"])
+
+    rows = stored(each_chunk(whole, describe, "doc_id long, ord long, n long, id1 long, id2 long, member long, chunk string, sketch binary"))
+    # one vertex for equal sets: the smallest member number
+    classes = rows.filter("n > 0").groupBy("id1", "id2").agg(F.min(F.struct("member", "chunk")).alias("m"), F.min("ord").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select("id1", "id2", F.col("m.member").alias("v"), F.col("m.chunk").alias("chunk"), "least", "n", "sketch"))
+    vertices = classes.select("v", "chunk", "n", "sketch")
+
+    def one_each(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
+        v = np.sort(got["own"]["v"].to_numpy())
+        return packed(c.subset(v - number(c.name)), pa.array(v))
+
+    store = stored(each_answered(whole, {"own": vertices.select("v", "chunk")}, one_each, CHUNKS))
+    dropped(whole)
+    labels = linked_components(store, vertices, parts)
     label = classes.drop("sketch").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = label.groupBy("label").agg(F.min("least").alias("component"))
     done = label.join(least, "label").select("id1", "id2", "component", "v")
     if links:
-        done = done.join(count_links(labels, store, classes), "v", "left")
-    out = rows.drop("sketch").join(done.drop("v"), ["id1", "id2"], "left")
+        done = done.join(counted := count_links(labels, store, classes), "v", "left")
+    done = stored(done.drop("v"))
+    dropped(store, classes, labels, *([counted] if links else []))
+    out = rows.select("doc_id", "ord", "n", "id1", "id2").join(done, ["id1", "id2"], "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("ord"))
     counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != _NULL, component).alias("component_id"), *counts)

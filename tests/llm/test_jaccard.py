@@ -66,8 +66,12 @@ def near(spark):
 
 
 @pytest.mark.parametrize("table", [documents, real, near])
-def test_components(spark, table, monkeypatch):
-    monkeypatch.setattr("quillspan.llm.jaccard.SAMPLE", 10**9)
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_components(spark, table, tile, monkeypatch):
+    """Also with groups cut into tiles, all large, and every shingle of two sets frequent."""
+    if tile == 3:
+        for name, value in (("TILE", 3), ("FEW", 2), ("FREQUENT", 2)):
+            monkeypatch.setattr(jaccard, name, value)
     docs = table(spark).repartition(3)
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert rows(jaccard.join(docs), "doc_id", "n_shingles", "component_id") == want
@@ -136,7 +140,7 @@ def test_signatures_meet():
         sets.first = np.concatenate([[0], np.cumsum(sets.n)])
         sets.own = np.arange(len(lists))
         for frequent in (np.zeros(0, np.uint64), np.sort(rng.permutation(a)[: n // 2]), np.sort(a)):
-            keys, who = jaccard.signatures(sets, frequent)
+            keys, who = jaccard.signatures(sets, ~np.isin(sets.s, frequent))
             of = [set(keys[who == i].tolist()) for i in range(len(lists))]
             for i in range(len(lists)):
                 for j in range(i):
