@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, jaccard, mixing, token_store, toxicity
-from quillspan.llm.common import read, stored
+from quillspan.llm.common import dropped, read, stored
 from quillspan.llm.queries import tokenizer_path
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """Documents with a number for each row, so that rows that repeat an id stay apart."""
-    return stored(docs.withColumn("_quillspan_row", F.monotonically_increasing_id()))
+    """Documents with a number for each row, so that rows that repeat an id stay apart.
+
+    docs is a table read from files, whose splits, and so these numbers, are the same at each reading.
+    """
+    return docs.withColumn("_quillspan_row", F.monotonically_increasing_id())
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +81,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, before = stored(stage(spark, docs, sf_dir)), docs
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
