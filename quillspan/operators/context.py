@@ -18,11 +18,16 @@ PARTICLES = ["de", "du", "des", "d", "le", "la", "van", "von", "der", "den", "di
 FUNCTION_WORDS = ["les", "des", "une", "aux", "par", "pour", "sur", "sous", "avec", "sans", "mais", "donc", "car", "est", "son", "sa", "ses", "mon", "ton", "nos", "vos", "leur", "the", "and", "for", "with", "from", "not", "but", "you", "all", "any", "can", "may", "will", "his", "her", "our"]
 CONNECTORS = ["sur", "sous", "en", "les", "lès", "le", "la", "de", "du", "des", "d", "aux", "et", "on", "upon"]
 PREPOSITIONS = ["a", "au", "aux", "en", "de", "d", "vers", "pres", "sur", "in", "at", "from", "near"]
-ACRONYMS = (
-    "pdf docx txt iban bic rib tva ttc ht siret siren ape naf rcs sas sasu sarl eurl sa sci scop cdi cdd rh drh pdg dg ceo cto cfo ia ai api url sms mms faq rgpd gdpr cnil ue eu usa uk "
-    "ok nb ps cv pme tpe eti sncf ratp edf urssaf caf cpam mdph ars chu chr ehpad samu smic rsa apl bac bts dut but du dea dess licence master phd mba ine nir rdv tel fax cedex bp cs zi za "
-    "zac hlm id n no num ref mr mme mlle dr pr st ste cie etc am pm utc gmt eur usd gbp chf"
-).split()
+ACRONYMS = [
+    "pdf", "docx", "txt", "iban", "bic", "rib", "tva", "ttc", "ht", "siret", "siren", "ape", "naf", "rcs", "sas", "sasu", "sarl", "eurl", "sa", "sci", "scop",
+    "cdi", "cdd", "rh", "drh", "pdg", "dg", "ceo", "cto", "cfo", "ia", "ai", "api", "url", "sms", "mms", "faq", "rgpd", "gdpr", "cnil", "ue", "eu", "usa",
+    "uk", "ok", "nb", "ps", "cv", "pme", "tpe", "eti", "sncf", "ratp", "edf", "urssaf", "caf", "cpam", "mdph", "ars", "chu", "chr", "ehpad", "samu", "smic",
+    "rsa", "apl", "bac", "bts", "dut", "but", "du", "dea", "dess", "licence", "master", "phd", "mba", "ine", "nir", "rdv", "tel", "fax", "cedex", "bp", "cs",
+    "zi", "za", "zac", "hlm", "id", "n", "no", "num", "ref", "mr", "mme", "mlle", "dr", "pr", "st", "ste", "cie", "etc", "am", "pm", "utc", "gmt", "eur",
+    "usd", "gbp", "chf",
+]
+
+# The grammars of labels, place formulas, datelines and numbers.
 _BLANK = "[ \\t\\u00A0]"
 NAME_LABEL = (
     "(?iu)(?<!\\p{L})(?:nom(?: de famille| d['’]usage| de naissance| marital| et pr[ée]noms?)?|pr[ée]noms?|signataire|sign[ée] par|destinataire|exp[ée]dit(?:eur|rice)|titulaire|[ée]l[èe]ve|[ée]tudiante?|patiente?|"

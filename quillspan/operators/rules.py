@@ -66,4 +66,5 @@ def rule_spans(text: Column, rule: Rule, order: int = 0) -> Column:
 def candidates(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, type, start, end, value, priority, source (number of the rule): one scan for all rules."""
     found = F.concat(*(rule_spans(F.col(text), r, i) for i, r in enumerate(rules)))
-    return docs.select(id_col, F.explode(found).alias("c")).select(id_col, "c.*")
+    # the outer form keeps the optimizer from testing the size of the array first, which would run every pattern again
+    return docs.select(id_col, F.explode_outer(found).alias("c")).filter("c is not null").select(id_col, "c.*")

@@ -144,10 +144,6 @@ _ITEM_SPANS = f"""SELECT i.*, CAST(p.before + coalesce(sum(length(str) + CASE WH
  FROM ({ITEMS}) i JOIN (SELECT doc_id, page, coalesce(sum(length(b)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_ENDED})) p USING (doc_id, page)"""
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir, ITEMS, "lineitem").withColumnsRenamed({"left_": "left", "top_": "top"}).dropDuplicates(["doc_id", "page", "item"])
-
-
 @query("pdf_text", f"SELECT doc_id, string_agg(b, '' ORDER BY page) AS text FROM ({_ENDED}) GROUP BY doc_id")
 def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_text(tables(spark, sf_dir, ITEMS, "lineitem"))[0]
@@ -210,7 +206,8 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page", "line_no", "y", "x", "size", layout.text_of(F.col("runs")).alias("line_text"), F.size("runs").alias("n_runs"))
 
 
-_LINE_SIZES = "SELECT l_orderkey AS doc_id, 0 AS page, l_linenumber AS line_no, CAST(8 + l_partkey % 4 + l_suppkey % 3 / 4.0 AS DOUBLE) AS size, repeat('a', CAST(l_quantity AS INT)) AS str FROM lineitem"
+#: Lines of equal keys that are left in any order are of one size.
+_LINE_SIZES = "SELECT l_orderkey AS doc_id, 0 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS line_no, CAST(8 + l_partkey % 4 + l_suppkey % 3 / 4.0 AS DOUBLE) AS size, repeat('a', CAST(l_quantity AS INT)) AS str FROM lineitem"
 
 
 @query("body_size", f"SELECT doc_id, half AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, met) AS r FROM (SELECT doc_id, floor(size * 2 + 0.5) / 2 AS half, sum(length(str)) AS n, min(line_no) AS met FROM ({_LINE_SIZES}) GROUP BY ALL)) WHERE r = 1")

@@ -1 +1 @@
-
+"""Text files in and out."""
