@@ -9,7 +9,8 @@ from quillspan.functions.text import extension_of, filtered_name, route
 
 
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
-    """Name, text of whole files; a byte order mark at the beginning is no part of the text."""
+    """Name, text of whole files; a byte order mark at the beginning is no part of the text.  Spark's readers
+    pass over files of no bytes, so these give no row."""
     files = spark.read.format("binaryFile").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
     return files.withColumn("text", F.regexp_replace("text", "^\\uFEFF", ""))
 

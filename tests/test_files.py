@@ -4,11 +4,11 @@ from quillspan.sources import files
 
 
 def test_texts(spark, tmp_path):
-    for name, text in (("a b.txt", "﻿é\nx\n"), ("c+d.md", ""), ("e.txt", "last")):
+    for name, text in (("a b.txt", "﻿é\nx\n"), ("c+d.md", "#"), ("e.txt", "last")):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / name).write_text(text, encoding="utf-8")
     docs = files.read_texts(spark, f"file://{tmp_path}/in")
-    assert {r.name: r.text for r in docs.collect()} == {"a b.txt": "é\nx\n", "c+d.md": "", "e.txt": "last"}
+    assert {r.name: r.text for r in docs.collect()} == {"a b.txt": "é\nx\n", "c+d.md": "#", "e.txt": "last"}
     assert {r.extension: r.n for r in files.kinds(docs).collect()} == {"txt": 2, "md": 1}
     assert {r.name: r.route for r in files.read_files(spark, f"file://{tmp_path}/in").collect()}["e.txt"] == "txt"
     files.write_texts(docs, f"file://{tmp_path}/out", text="text")
