@@ -22,8 +22,9 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def write_texts(docs: DataFrame, path: str, name: str = "name", text: str = "redacted") -> None:
-    """K1: one folder for each output name, which holds the text as Spark wrote it: nothing passes through the driver."""
-    docs.select(filtered_name(F.col(name)).alias("name"), F.col(text).alias("text")).write.partitionBy("name").text(path, lineSep="")
+    """K1: one folder for each output name, with the text in a file that ends a line; nothing passes through the driver."""
+    whole = F.regexp_replace(text, "\\n\\z", "")
+    docs.select(filtered_name(F.col(name)).alias("name"), whole.alias("text")).write.partitionBy("name").text(path)
 
 
 def kinds(docs: DataFrame, name: str = "name") -> DataFrame:
