@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Chunk, answers, bucket_rows, buckets_schema, chunked, covered, each_answered, each_chunk, exchange, keys_of_documents, partitions, several_documents, sliding_min, stored, window_ok, windows, word_hashes, word_spans
+from .common import Chunk, answers, bucket_rows, buckets_schema, chunked, each_answered, each_chunk, exchange, keys_of_documents, partitions, several_documents, sliding_min, stored, window_ok, windows, word_hashes, word_spans
 
 WINDOW = 50
 _CHECK = 0xA0761D6478BD642F
@@ -119,9 +119,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
         dup = reference < c.order[r.doc[at]]
         at, reference, place = at[dup], reference[dup], place[dup]
         first, n = factors(reference, place, at)
-        flag = np.zeros(max(len(r.h) - window + 1, 0), bool)
-        flag[at] = True
-        gone = covered(flag, window, len(r.h))
+        # a factor's words are those from its first run's begin to its last run's end
+        edge = np.zeros(len(r.h) + 1, np.int64)
+        np.add.at(edge, at[first], 1)
+        np.add.at(edge, at[first] + n + window - 1, -1)
+        gone = np.cumsum(edge[:-1]) > 0
         # kept words, one space between, for all documents of the chunk at once
         kept = np.flatnonzero(~gone)
         n_kept = np.diff(np.searchsorted(kept, r.words))

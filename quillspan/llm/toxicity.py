@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
 1. Voters.  Lexicon entries (whole words) and patterns (word beginnings of 4, 5 and 6 bytes) that are over-
-   represented in labelled toxic training documents are mined with a likelihood-ratio test and dealt into
-   voters; a small fixed list and two style patterns vote as well.  A voter says toxic, clean or nothing.
-2. Label model.  A generative model with class-conditional vote rates is fitted by expectation-maximisation,
-   starting from the training labels; correlations between voters given the class are estimated, and a
-   voter's evidence is divided among those it moves with, so that copies of one voter count once.
-3. A linear (logistic) classifier is trained on the posterior labels of the training sample.
-
-Labels come from the training folds only, at most `sample` labelled documents of them (chosen by the hash of
-their id); mining, fitting and the model have that bound.  Scoring covers every document and whole texts.
+   represented in labelled toxic training documents are mined with a likelihood-ratio test; entries of a kind
+   and of like strength make up a voter, so that each has an accuracy of its own.  A small fixed list, the
+   absence of every entry and the loudness of a text vote as well.  A voter says toxic, clean or nothing.
+2. Label model.  A generative model of all votes: the class, and given the class a forest in which each vote
+   depends on at most one other, the one that it is most correlated with (conditional mutual information).  It
+   is fitted by expectation-maximisation; the given labels only start it, after that it has the votes alone.
+   A voter that repeats another adds no evidence, as its vote is then certain given the other's.
+3. A linear (logistic) classifier is trained on the posterior labels of the training sample, and on nothing else.
+
+Labels come from the training folds only, at most about `sample` labelled documents of them (chosen by the hash
+of their id); mining, fitting and the size of the model have that bound and no other.  Scoring covers every document and whole texts.
 language, source and ids are never inputs of a score.
 
 Defined results: null and empty texts score by the bias alone; without labelled documents of both classes the score is
@@ -24,14 +26,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, fold, slices, utf8, word_hashes, word_spans
+from .common import ALNUM_WORD, dropped, fold, slices, stored, utf8, word_hashes, word_spans
 
 SAMPLE = 20_000
-#: At most so many mined entries, best first.
-ENTRIES = 1500
+#: An entry stands in so many toxic documents, has this likelihood ratio, and is so many times as usual in them.
+OFTEN, SURE, LIFT = 3, 12.0, 5.0
 PREFIXES = (4, 5, 6)
 #: Common English insults, one voter.
 BASE = ("idiot", "moron", "stupid", "scum", "pathetic", "loser", "disgusting", "trash", "worthless", "imbecile", "retard", "bastard")
@@ -49,15 +51,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], n
     return out, words
 
 
-def _g2(a: np.ndarray, b: np.ndarray, t: int, n: int) -> np.ndarray:
+def _g2(a: Column, b: Column, t: int, n: int) -> Column:
     """Likelihood ratio of document frequencies a of t toxic and b of n clean documents."""
-    p = (a + b) / (t + n)
+    p = (a + b) / F.lit(float(t + n))
 
-    def part(k, m, q):  # noqa: ANN001, ANN202
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(k > 0, k * np.log(np.where(k > 0, k / m, 1) / q), 0) + np.where(k < m, (m - k) * np.log(np.where(k < m, (m - k) / m, 1) / np.where(q < 1, 1 - q, 1)), 0)
+    def part(k: Column, m: int) -> Column:
+        some = F.when(k > 0, k * F.ln(k / F.lit(float(m)) / p)).otherwise(0.0)
+        return some + F.when(k < m, (F.lit(m) - k) * F.ln((F.lit(m) - k) / F.lit(float(m)) / (1 - p))).otherwise(0.0)
 
-    return 2 * (part(a, t, p) + part(b, n, p))
+    return 2 * (part(a, t) + part(b, n))
 
 
 class Lexicon(NamedTuple):
@@ -95,37 +97,68 @@ def votes(x: np.ndarray) -> np.ndarray:
 
 class LabelModel(NamedTuple):
     prior: float
-    rates: np.ndarray  # voters x {clean, toxic} x {-1, 0, 1}
-    weight: np.ndarray  # share of each voter's evidence that counts
+    parent: np.ndarray  # of each voter, itself for roots
+    rates: np.ndarray  # voters x {clean, toxic} x vote of the parent x vote; of roots the same for each vote of the parent
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         j = np.arange(v.shape[1])
-        ratio = np.log(self.rates[:, 1, :]) - np.log(self.rates[:, 0, :])
-        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + (ratio[j, v + 1] * self.weight).sum(1), -50, 50)))
-
-
-def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 15) -> LabelModel:
-    """Expectation-maximisation from the training labels y on; correlations given the class discount voters."""
-    q = np.clip(y.astype(float), 0.02, 0.98)
-    n, m = v.shape
-    weight = np.ones(m)
+        ratio = np.log(self.rates[:, 1]) - np.log(self.rates[:, 0])
+        return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + ratio[j, v[:, self.parent] + 1, v + 1].sum(1), -50, 50)))
+
+
+def joint(v: np.ndarray, q: np.ndarray, a: int, b: int) -> np.ndarray:
+    """{clean, toxic} x vote of a x vote of b: how often, with half a document spread over all."""
+    cell = (v[:, a] + 1).astype(np.int64) * 3 + v[:, b] + 1
+    return np.stack([np.bincount(cell, weights=w, minlength=9).reshape(3, 3) for w in (1 - q, q)]) + 0.5 / 9
+
+
+def forest(v: np.ndarray, q: np.ndarray, least: float = 0.01) -> np.ndarray:
+    """The parent of each voter in a heaviest spanning forest by mutual information given the class (`least` or more)."""
+    m = v.shape[1]
+    edges = []
+    for a in range(m):
+        for b in range(a):
+            n = joint(v, q, a, b)
+            given = n.sum((1, 2), keepdims=True)
+            info = float((n * np.log(n * given / n.sum(2, keepdims=True) / n.sum(1, keepdims=True))).sum() / n.sum())
+            if info >= least:
+                edges.append((info, a, b))
+    near: list[list[int]] = [[] for _ in range(m)]
+    tree = list(range(m))
+    for _, a, b in sorted(edges, reverse=True):
+        if tree[a] != tree[b]:
+            was, now = tree[a], tree[b]
+            tree = [now if x == was else x for x in tree]
+            near[a].append(b)
+            near[b].append(a)
+    parent = np.arange(m)
+    for root in sorted(set(tree)):
+        todo, seen = [root], {root}
+        while todo:
+            x = todo.pop()
+            for y in near[x]:
+                if y not in seen:
+                    seen.add(y)
+                    parent[y] = x
+                    todo.append(y)
+    return parent
+
+
+def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 15) -> LabelModel:
+    """Expectation-maximisation from the labels `start` on, which no later round sees."""
+    q = np.clip(start.astype(float), 0.02, 0.98)
+    m = v.shape[1]
     for r in range(rounds):
-        prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
-        rates = np.empty((m, 2, 3))
-        for k in range(3):
-            is_k = v == k - 1
-            rates[:, 1, k] = (q @ is_k + 0.1) / (q.sum() + 0.3)
-            rates[:, 0, k] = ((1 - q) @ is_k + 0.1) / ((1 - q).sum() + 0.3)
-        if r % 5 == 0:  # correlations of the votes' residuals given the class
-            values = np.array([-1.0, 0.0, 1.0])
-            mean = rates @ values
-            res = v - (q[:, None] * mean[:, 1] + (1 - q)[:, None] * mean[:, 0])
-            sd = np.maximum(np.sqrt((res**2).mean(0)), 1e-6)
-            rho = np.abs((res.T @ res) / n / np.outer(sd, sd))
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.15, rho, 0).sum(1))
-        model = LabelModel(prior, rates, weight)
-        q = 0.5 * model.posterior(v) + 0.5 * y  # the labels stay as one more voter
+        if r % 5 == 0:
+            parent = forest(v, q)
+        rates = np.empty((m, 2, 3, 3))
+        for j in range(m):
+            n = joint(v, q, int(parent[j]), j)
+            if parent[j] == j:
+                n = np.repeat(n.sum(1, keepdims=True), 3, axis=1)
+            rates[j] = n / n.sum(2, keepdims=True)
+        model = LabelModel(float(np.clip(q.mean(), 1e-3, 1 - 1e-3)), parent, rates)
+        q = model.posterior(v)
     return model
 
 
@@ -203,18 +236,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train=None) ->
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1], pa.int32()), pa.array([int(size.sum())]), pa.array([int(len(size) - size.sum())])], ["h", "kind", "a", "b"])
 
     mined = rows.mapInArrow(mine, "h long, kind int, a long, b long").groupBy("h", "kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # a candidate must stand in 3 toxic documents and be at least five times as usual there; the sample bounds its number
-    top = mined.filter("kind = -1 or (a >= 3 and b * 20 <= a)").orderBy(F.col("kind") != -1, F.col("a").desc(), "b", "h").limit(8 * ENTRIES).toPandas()
-    size = top[top.kind == -1]
-    if not len(size) or not len(top[top.kind >= 0]) or not size.a.iloc[0] or not size.b.iloc[0]:
-        entries = top.iloc[:0]
-    else:
-        t_, n_ = int(size.a.iloc[0]), int(size.b.iloc[0])
-        top = top[top.kind >= 0]
-        top = top.assign(g=_g2(top.a.to_numpy(), top.b.to_numpy(), t_, n_), lift=((top.a + 0.5) / (t_ + 1)) / ((top.b + 0.5) / (n_ + 1)))
-        entries = top[(top.g >= 12) & (top.lift >= 5)].sort_values(["g", "h"], ascending=[False, True]).head(ENTRIES)
+    mined = stored(mined)
+    size = mined.filter("kind = -1").first()
+    entries = mined.filter(F.lit(False)).toPandas()
+    if size and size.a and size.b:
+        a, b, often = F.col("a"), F.col("b"), float(OFTEN)
+        rates = (a + 0.5) / (size.a + 1) / ((b + 0.5) / (size.b + 1))
+        found = mined.filter((F.col("kind") >= 0) & (a >= often)).withColumns({"g": _g2(a, b, size.a, size.b), "lift": rates})
+        # of the sample's words only, whose number its size bounds
+        entries = found.filter((F.col("g") >= SURE) & (F.col("lift") >= LIFT)).toPandas().sort_values(["kind", "lift", "h"], ascending=[True, False, True], ignore_index=True)
+    dropped(mined)
     keys = entries.h.to_numpy().astype(np.int64).view(np.uint64)
-    voter = entries.kind.to_numpy().astype(np.int64) * GROUPS + np.arange(len(entries)) % GROUPS + 1
+    kinds = entries.kind.to_numpy().astype(np.int64)
+    # those of a kind in equal parts, by how many times as usual they are
+    place = entries.groupby("kind").cumcount().to_numpy() if len(entries) else np.zeros(0, np.int64)
+    n_kind = np.bincount(kinds, minlength=1 + len(PREFIXES))
+    voter = kinds * GROUPS + place * GROUPS // np.maximum(n_kind[kinds], 1) + 1
     base = base_entries()
     keep = ~np.isin(base, keys)
     keys, voter = np.concatenate([keys, base[keep]]), np.concatenate([voter, np.zeros(int(keep.sum()), np.int64)])
@@ -233,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train=None) ->
     y = got.toxic.to_numpy().astype(float)
     v = votes(x)
     posterior = label_model(v, y).posterior(v)
-    return Model(lexicon, logistic(inputs(x), 0.5 * posterior + 0.5 * y))
+    return Model(lexicon, logistic(inputs(x), posterior))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:

@@ -4,15 +4,17 @@ The reader checks every gzip member (checksum and length) and every record (vers
 payload digest).  Where a check fails it looks for the next member, or in plain archives the next version
 line, that opens a valid record, goes on there, and logs the bytes between as a quarantined gap.
 
-Defined results: null html is an empty payload; a null url leaves the target out; a null page_id is kept and
-cannot be referred to by smaller ids; an empty table gives no archives and no rows; repeated rows each get a
-record (the one response of a payload is a row with its largest page_id).
+Defined results: null html is an empty payload; a null url leaves the target out; a null page_id counts as the
+smallest, so it revisits any other, and payloads of null ids alone are all responses, as nothing can refer to
+them; an empty table gives no archives and no rows; repeated rows each get a record, and the one response of a
+payload is one row with its largest page_id.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -143,9 +145,9 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes gzip archives into the shared folder; gives the manifest: path, n_records, n_bytes."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.length("payload"))
-    first = rows.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("of"))
-    rows = rows.join(first, ["sha", "n"], "left")
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.length("payload")).withColumn("row", F.monotonically_increasing_id())
+    first = rows.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.max(F.struct("page_id", "row")).alias("first"))
+    rows = rows.join(first, ["sha", "n"], "left").withColumn("of", F.when(F.col("first.row") != F.col("row"), F.col("first.page_id")))
     root = scratch(pages.sparkSession) + "/warc"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, page_id: str =
         for b in batches:
             for i in range(b.num_rows):
                 key, link, payload, of = (b.column(j)[i].as_py() for j in range(4))
-                held.append(member(record(key, link, payload, of if of is not None and key is not None and key != of else None)))
+                held.append(member(record(key, link, payload, of)))
                 n += len(held[-1])
                 if n >= FILE_BYTES:
                     close()
@@ -210,6 +212,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write, then read back."""
-    records = read_archives(write_archives(pages)).filter("kind = 'record'")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    """Write, then read back; quarantined gaps are kept in the shared folder, and their number is logged."""
+    found = stored(read_archives(write_archives(pages)))
+    if gaps := found.filter("kind = 'gap'").count():
+        logging.getLogger(__name__).warning("%d quarantined gaps; rows of kind 'gap' in %s", gaps, found._quillspan_path)
+    return found.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

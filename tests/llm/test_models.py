@@ -27,6 +27,22 @@ def test_toxicity_cases(spark):
     assert set(toxicity.toxicity(docs, labels.limit(0)).toPandas().predicted) == {0}
 
 
+def test_label_model():
+    """Without labels of its own, the model tells good voters from bad ones and counts one that repeats another once."""
+    rng = np.random.default_rng(2)
+    y = rng.random(4000) < 0.3
+    vote = lambda right: np.where(rng.random(4000) < right, np.where(y, 1, -1), np.where(y, -1, 1))
+    good, fair, bad = vote(0.9), vote(0.8), vote(0.55)
+    v = np.column_stack([good, fair, bad, bad, bad]).astype(np.int8)
+    noisy = np.where(rng.random(4000) < 0.75, y, ~y).astype(float)
+    model = toxicity.label_model(v, noisy)
+    assert {int(x) for x in model.parent[2:]} < {2, 3, 4}
+    seen = np.array([[1, 1, -1, -1, -1], [-1, -1, 1, 1, 1]], np.int8)
+    p = model.posterior(seen)
+    assert p[0] > 0.8 and p[1] < 0.2
+    assert ((model.posterior(v) > 0.5) == y).mean() > 0.88
+
+
 def brute(rows_, every=50, k=5):
     v = {i: np.array(e, float) for i, e in rows_}
     out = {}
@@ -70,6 +86,29 @@ def test_many_ties(spark):
     assert found == {q: [i for i, _ in x] for q, x in brute(data).items()}
 
 
+def test_lengths(spark):
+    """Vectors of each length are searched among themselves."""
+    rng = np.random.default_rng(1)
+    data = [(i, rng.normal(size=3 if i % 2 else 5).tolist()) for i in range(205)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want = {q: x for n in (3, 5) for q, x in brute([d for d in data if len(d[1]) == n]).items()}
+    found = {}
+    for r in ann.neighbours(df, share=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+def test_recall_of_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24)) * 3
+    data = [(i, (centres[i % 40] + rng.normal(size=24)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    want, got = brute(data), {}
+    for r in ann.neighbours(df, share=0.05, least=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
 def test_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in df.collect()])

@@ -49,13 +49,17 @@ def test_token_store(spark, table):
 
 def test_archives(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
-    extra = spark.createDataFrame([(1000, None, None), (1001, "u\r\nv", ""), (1002, "u", "é"), (1003, "u", "é"), (1003, "u", "é")], pages.schema)
+    extra = spark.createDataFrame([(1000, None, None), (1001, "u\r\nv", ""), (1002, "u", "é"), (1003, "u", "é"), (1003, "u", "é"), (None, "u", "é"), (None, "v", "lone"), (None, "v", "lone")], pages.schema)
     pages = pages.union(extra)
     data = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
-    most = defaultdict(int)
+    best = {}
     for i, b in data:
-        most[b] = max(most[b], i)
-    want = [(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if most[b] == i else "revisit", None if most[b] == i else most[b]) for i, b in data]
+        best[b] = max(best.get(b, -1), -1 if i is None else i)
+    want, done = [], set()
+    for i, b in data:
+        first = best[b] < 0 or i == best[b] and b not in done
+        done |= {b} if first else set()
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else best[b]))
     assert rows(warc.archive(pages), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
     assert warc.archive(pages.limit(0)).count() == 0
 
