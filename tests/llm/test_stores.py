@@ -146,15 +146,16 @@ def plain_hits(docs, items):
 
 
 @pytest.mark.parametrize("table", [documents, real])
-@pytest.mark.parametrize("limit", [decontaminate.BLOCK_BYTES, 900])
+@pytest.mark.parametrize("limit", [4 << 20, 900])
 def test_contamination(spark, table, limit, monkeypatch):
+    """Also with shards of a few documents each."""
+    whole = decontaminate.slices
+    monkeypatch.setattr(decontaminate, "slices", lambda b, t, n=limit: whole(b, t, n))
     docs = table(spark)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     some = [r.text for r in docs.filter("length(text) > 200").limit(4).collect()]
     items += [(900, some[0][40:220]), (901, some[1][30:60]), (902, None), (903, ""), (904, "a"), (905, "A, b!"), (906, some[2]), (900, some[0][40:220])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = decontaminate.blocks
-    monkeypatch.setattr(decontaminate, "blocks", lambda b, **k: whole(b, limit=limit, **k))
     got = decontaminate.contamination(docs, bench)
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == plain_hits([(r.doc_id, r.text) for r in docs.collect()], items)
 
