@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard, lm, mixing, substring, suffix, token_store, toxicity, warc
+from . import ann, decontaminate, jaccard, lm, mixing, oracles, substring, suffix, token_store, toxicity, warc
 from .common import read
 
 #: Folder of public tokenizer files; a parameter of the operators.
@@ -74,4 +74,9 @@ QUERIES = {
     "op9_entropy_mix": op9_entropy_mix,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_difference_cover": oracles.OP2,
+    "op6_partenum": oracles.OP6,
+    "op7_relative_lz": oracles.OP7,
+    "op10_decontaminate": oracles.OP10,
+}
