@@ -4,8 +4,9 @@ Unit vectors are cut in two halves, each quantised by its own codebook; a cell i
 walks the pairs of centroids by summed distance (multi-sequence algorithm, one heap) until the cells it has
 passed hold `share` of all vectors (and `least` of them), and those are reranked by the exact cosine in
 double precision.  The share is what recall costs: for vectors without any structure (independent
-components, 64 of them) 128 codes a half need a quarter of all vectors for 9 of 10 true neighbours and a third
-for 19 of 20; clustered vectors need far less.
+components, 64 of them) 64 codes a half need about three tenths of all vectors for 9 of 10 true neighbours and
+0.42 for 19 of 20 (128 codes a quarter and a third, but four times as many cells to walk); clustered vectors
+need far less.
 
 Equal vectors are indexed once with their smallest ids, so a vector that a third of all rows share is one
 entry; large cells are dealt into blocks.  The codebooks are fitted on at most `sample` vectors (chosen by
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE = 20_000
-CODES = 128
-SHARE = 0.35
+CODES = 64
+SHARE = 0.42
 LEAST = 1_000
 #: Vectors of a cell that one unit holds at most, about, and of the units of one group.
 BLOCK, GROUP = 1_000, 5_000
