@@ -37,9 +37,9 @@ def test_label_model():
     noisy = np.where(rng.random(4000) < 0.75, y, ~y).astype(float)
     model = toxicity.label_model(v, noisy)
     assert {int(x) for x in model.parent[2:]} < {2, 3, 4}
-    seen = np.array([[1, 1, -1, -1, -1], [-1, -1, 1, 1, 1]], np.int8)
-    p = model.posterior(seen)
-    assert p[0] > 0.8 and p[1] < 0.2
+    # the copies change the posteriors of no text
+    once = toxicity.label_model(v[:, :3], noisy)
+    assert np.abs(model.posterior(v) - once.posterior(v[:, :3])).max() < 0.01
     assert ((model.posterior(v) > 0.5) == y).mean() > 0.88
 
 
