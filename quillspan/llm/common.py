@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: What a row weighs in a chunk besides its text, so that the number of rows of a chunk is bounded.
 ROW_BYTES = 16
+#: Bytes of text whose keys one bucket of an exchange takes.
+BUCKET_BYTES = 16 << 20
 #: Bytes hashed at once; the power tables of this length stay in the CPU cache.
 SLICE = 1 << 17
 
@@ -221,6 +223,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(store: DataFrame, limit: int) -> int:
+    """Number of buckets of an exchange between the chunks of `limit` bytes at most: it follows the text's size, so that a bucket's does not."""
+    return max(partitions(store.sparkSession), -(-store.count() * limit // BUCKET_BYTES))
+
+
 Answer = Callable[[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]]
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunk, answers, bucket_rows, buckets_schema, chunked, each_answered, each_chunk, exchange, from_planes, in_group, mix, partitions, stored, word_hashes, word_spans
+from .common import Chunk, answers, bucket_rows, buckets, buckets_schema, chunked, cleaned, each_answered, each_chunk, exchange, from_planes, in_group, mix, stored, word_hashes, word_spans
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -146,8 +146,8 @@ def weight_of(weights: dict[int, np.ndarray], order: int) -> np.ndarray:
 def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
-    parts = partitions(spark)
     store = chunked(docs, doc_id, text, CHUNK, TUNE)
+    parts = buckets(store, CHUNK)
 
     def totals(inverse: np.ndarray, values: list[np.ndarray], chunk_no: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         both = [in_group(inverse, starts, v, np.add) for v in values]
@@ -169,7 +169,9 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
 
     back = {"1": stored(exchange(send(1), parts, ["u4", "u4"], totals, 3))}
     for n in range(2, order + 1):
+        cleaned(spark)
         back[str(n)] = stored(exchange(send(n), parts, ["u4", "u4"], summed, 2))
+    cleaned(spark)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros(4, np.int64)

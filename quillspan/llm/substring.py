@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Chunk, answers, bucket_rows, buckets_schema, chunked, each_answered, each_chunk, exchange, keys_of_documents, partitions, several_documents, sliding_min, stored, window_ok, windows, word_hashes, word_spans
+from .common import CHUNK_BYTES, Chunk, answers, bucket_rows, buckets, buckets_schema, chunked, each_answered, each_chunk, exchange, keys_of_documents, several_documents, sliding_min, stored, window_ok, windows, word_hashes, word_spans
 
 WINDOW = 50
 _CHECK = 0xA0761D6478BD642F
@@ -74,8 +74,8 @@ def factors(reference: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[n
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, factors (word, n_words, reference doc_id, reference word)."""
-    parts = partitions(docs.sparkSession)
     store = chunked(docs, doc_id, text)
+    parts = buckets(store, CHUNK_BYTES)
 
     def minimizers(c: Chunk) -> Iterator[pa.RecordBatch]:
         r = Runs(c, window)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, CHUNKS, Chunk, answers, bucket_rows, buckets_schema, chunked, covered, each_answered, each_chunk, exchange, from_planes, keys_of_documents, mix, partitions, planes, powers, several_documents, sliding_min, stored, window_ok, windows
+from .common import _BYTE, CHUNKS, Chunk, answers, bucket_rows, buckets, buckets_schema, chunked, covered, each_answered, each_chunk, exchange, from_planes, keys_of_documents, mix, planes, powers, several_documents, sliding_min, stored, window_ok, windows
 
 WINDOW, GRAM, WIDTH = 50, 20, 6
 #: One gram in so many, about, is a place where segments are cut.
@@ -407,8 +407,8 @@ def smallest_documents(pieces: DataFrame, window: int, parts: int) -> tuple[Data
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, n_bytes)."""
-    parts = partitions(docs.sparkSession)
     store = chunked(docs, doc_id, text, CHUNK)
+    parts = buckets(store, CHUNK)
 
     def minimizers(c: Chunk) -> Iterator[pa.RecordBatch]:
         w = Windows(c, window)
