@@ -30,7 +30,7 @@ from .common import Chunk, answers, bucket_rows, buckets, buckets_schema, chunke
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-ORDER = 2
+ORDER = 3
 HELD_OUT, TUNE = 1, 0
 #: Bytes of text in a chunk: the larger, the fewer n-grams are sent twice.
 CHUNK = 12 << 20
