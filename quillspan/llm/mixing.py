@@ -70,8 +70,8 @@ def solve(hist: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int = 60,
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, rate, copies, and the columns of keep; one row per row of docs."""
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), *keep)
-    base = stored(base.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(SALTS)).alias("salt"), *keep)
+    base = stored(base.withColumn("key", key))
     hist = base.groupBy("key", "source", "size", "salt").agg(F.count("*").alias("n"))
     hist = stored(hist)
     by_size = stored(hist.groupBy("key", "source", "size").agg(F.sum("n").alias("n")))
