@@ -42,3 +42,9 @@ OP10 = f"""WITH w AS (SELECT doc_id, {_TERMS} AS ws FROM documents), b AS (SELEC
  h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, p + unnest(range(n)) AS j FROM m) GROUP BY doc_id),
  t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+#: Twenty bytes are four groups of forty bits, each eight digits of five.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha1({0}), 10 * (i // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT), 1)), '')"
+#: The largest page of equal payloads is the response of the others.
+OP8 = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS t, row_number() OVER w AS r, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST))
+ SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, {_BASE32.format("t")} AS payload_digest, CASE WHEN r = 1 OR m IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN m END AS refers_to, url FROM p"""

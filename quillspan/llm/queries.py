@@ -78,5 +78,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_difference_cover": oracles.OP2,
     "op6_partenum": oracles.OP6,
     "op7_relative_lz": oracles.OP7,
+    "op8_warc_salvage": oracles.OP8,
     "op10_decontaminate": oracles.OP10,
 }
