@@ -210,8 +210,18 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
     by = ["b", *(f"q{i}" for i in range(1, order + 1))]
     tuned = {n: t.filter(F.col("chunk").endswith("t")) for n, t in back.items()}
     found = each_answered(store.filter(F.col("chunk").endswith("t")), tuned, events, ", ".join(f"{x} long" for x in by) + ", n long").groupBy(*by).agg(F.sum("n").alias("n"))
-    table = found.toPandas().to_numpy().astype(np.int64).reshape(-1, order + 2)  # bounded by the number of bins
-    mixture = weight_of(learn(table, order, 1 / (est.types + 1)), order)
+    uniform = 1 / (est.types + 1)
+
+    def fit(t: pa.Table) -> pa.Table:
+        e = np.column_stack([t[x].to_numpy() for x in (*by, "n")])
+        w = learn(e[np.lexsort(e.T[::-1])], order, uniform)
+        return pa.table({"b": list(w), "w": [x.tolist() for x in w.values()]})
+
+    # a bucket has a bounded number of bins, and there are 32 buckets an order
+    weights = {r.b: np.array(r.w) for r in found.groupBy("b").applyInArrow(fit, "b long, w array<double>").collect()}
+    mixture = weight_of(weights, order)
+    del found
+    cleaned(spark)
 
     def scores(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
         tokens = Tokens(c)
