@@ -140,6 +140,14 @@ def extension_of(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "(?s)^.*\\.", ""))
 
 
+def output_name(name: Column, kind: Column, label: Column | None = None) -> Column:
+    """Names of what is made of a file: merge, pages, part (with its label), parts, docx, pdf."""
+    end = F.when(kind == "merge", "_fusion.pdf").when(kind == "pages", "_pages.pdf").when(kind == "parts", "_decoupe.zip").when(kind == "docx", ".docx").when(kind == "pdf", ".pdf")
+    if label is not None:
+        end = F.when(kind == "part", F.concat(F.lit("_"), label, F.lit(".pdf"))).otherwise(end)
+    return F.concat(base_name(name), end)
+
+
 def fill(template: Column, values: dict[str, Column]) -> Column:
     """{name} becomes its value, in one pass; unknown names stay."""
     pieces = F.split(template, "(?=\\{[A-Za-z0-9_]+\\})", -1)

@@ -49,7 +49,8 @@ ID_LABEL = (
 _AFTER = f"(?![\\p{{L}}\\d]|[.,]\\d|[{SPACE}]?(?:€|%|eur{_B}|euros?{_B}))"
 LONG_NUMBER = f"(?iu)(?<![\\p{{L}}\\d,.])\\d{{5,}}{_AFTER}"
 GROUPED_NUMBER = f"(?iu)(?<![\\p{{L}}\\d,.])\\d{{2,4}}(?:[ .]\\d{{2,4}}){{2,512}}{_AFTER}"
-MIXED_CODE = "(?<![\\p{L}\\d])(?=[A-Z0-9-]*\\d)(?=[A-Z0-9-]*[A-Z])[A-Z0-9](?:-{0,64}[A-Z0-9]){4,512}(?![\\p{L}\\d])"
+# Possessive, so that no text can exhaust Java's stack; codes of fewer than five characters are left out afterwards.
+MIXED_CODE = "(?<![\\p{L}\\d])(?=[A-Z0-9-]*\\d)(?=[A-Z0-9-]*[A-Z])[A-Z0-9]++(?![\\p{L}\\d])(?:-++[A-Z0-9]++(?![\\p{L}\\d]))*+"
 # Priorities and the order of sources after the format rules; five words make a name or place at most.
 PERSON, PLACE, LABELLED, STRICT, PROPER = 35, 33, 28, 15, 10
 AFTER_RULES = {"labelled": 100, "person": 101, "person_label": 102, "place_formula": 103, "dateline": 104, "place": 105, "long": 106, "grouped": 107, "mixed": 108, "proper": 109}
@@ -114,7 +115,7 @@ def grouped_numbers(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def mixed_codes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Capitals and digits mixed, five characters at least"""
-    return _pattern(docs, MIXED_CODE, "mixed", id_col, text)
+    return _pattern(docs, MIXED_CODE, "mixed", id_col, text).filter(F.length(F.replace("value", F.lit("-"))) >= 5)
 
 
 # ---------------------------------------------------------------- words around a word
@@ -126,9 +127,11 @@ def context_tokens(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", te
     t = t.withColumn("acronym", F.col("key").isin(ACRONYMS)).withColumn("particle", F.col("key").isin(PARTICLES) & ~F.col("capitalized"))
     named = ~F.col("common") | ((F.col("is_surname") | F.col("is_first")) & (F.col("all_caps") | ~F.col("sentence_start")))
     t = t.withColumn("name_like", F.col("capitalized") & (F.length("key") >= 2) & ~F.col("acronym") & named)
-    own = F.struct("key", "start", "end", "gap", "blank_gap", "capitalized", "sentence_start", "name_like", "particle")
+    t = t.withColumn("_own", F.struct("key", "start", "end", "gap", "blank_gap", "capitalized", "sentence_start", "name_like", "particle"))
     w = W.partitionBy(id_col).orderBy("pos")
-    return t.withColumn("ahead", F.collect_list(own).over(w.rowsBetween(1, REACH + 1))).withColumn("behind", F.reverse(F.collect_list(own).over(w.rowsBetween(-REACH, -1))))
+    # the name after a form of address begins one word on, and a particle looks one word further
+    ahead, behind = F.array(*(F.lead("_own", j).over(w) for j in range(1, REACH + 3))), F.array(*(F.lag("_own", j).over(w) for j in range(1, REACH + 1)))
+    return t.withColumns({"ahead": ahead, "behind": behind}).drop("_own")
 
 
 def _next(i: int = 0) -> Column:
@@ -163,11 +166,7 @@ def extend_back(behind: Column, gap_here: Column) -> Column:
 def civility_people(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The name after a form of address, which stays visible itself."""
     n = _next()
-    # one word more is looked at here than from the civility itself
-    w = W.partitionBy(id_col).orderBy("pos")
-    own = F.struct("key", "start", "end", "gap", "blank_gap", "capitalized", "sentence_start", "name_like", "particle")
-    full = tokens.withColumn("ahead", F.collect_list(own).over(w.rowsBetween(1, REACH + 2)))
-    rows = full.filter(F.col("capitalized") & F.col("key").isin(CIVILITIES) & n["gap"].rlike(f"^\\.?{_BLANK}+\\z") & n["capitalized"] & (F.length(n["key"]) >= 2))
+    rows = tokens.filter(F.col("capitalized") & F.col("key").isin(CIVILITIES) & n["gap"].rlike(f"^\\.?{_BLANK}+\\z") & n["capitalized"] & (F.length(n["key"]) >= 2))
     last = extend(F.col("ahead"), 1)
     rows = rows.select(id_col, n["start"].alias("start"), F.get("ahead", last)["end"].alias("end"))
     return _candidates(rows, "PERSONNE", PERSON, "person", docs, id_col, text)

@@ -12,9 +12,13 @@ def span_id(kind: Column, start: Column, end: Column) -> Column:
 
 
 def greedy(candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Longest first, then priority, then start; kept if it overlaps nothing kept (touching is no overlap)."""
+    """Longest first, then priority, then start; kept if it overlaps nothing kept (touching is no overlap).
+
+    What does not overlap cannot matter, so the choice is made within islands of overlapping candidates.
+    """
     item = F.struct((F.col("start") - F.col("end")).alias("size"), (-F.col("priority")).alias("rank"), "start", "source", "end", "type", "value")
-    ordered = candidates.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    rows = _islands(candidates, id_col, [F.col("start"), F.col("end").desc(), F.col("source"), F.col("priority")])
+    ordered = rows.groupBy(id_col, "island").agg(F.array_sort(F.collect_list(item)).alias("all"))
 
     def step(kept: Column, x: Column) -> Column:
         clash = F.exists(kept, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"]))
@@ -45,18 +49,21 @@ def merge(candidates: DataFrame, docs: DataFrame, id_col: str = "doc_id", text:
 
 
 def add_manual(detections: DataFrame, masks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's mask (from, to in either order; empty ones are ignored) takes in what it overlaps.
+    """The masks of a document (from, to in either order; empty ones are ignored) take in what they overlap, other
+    masks as well.
 
-    detections are disjoint, so what a mask takes in never reaches further ones.  masks: one a document.
+    detections are disjoint, so what a mask takes in never reaches further ones and the order of masks does not matter:
+    an island of overlapping spans with a mask is one mask, and any other island is one detection.
     """
-    m = masks.select(id_col, F.least("from", "to").alias("lo"), F.greatest("from", "to").alias("hi")).filter("lo < hi")
-    d = detections.select(id_col, "type", "start", "end", "value")
-    hit = d.join(m, id_col).filter("start < hi and lo < end")
-    wide = m.join(hit.groupBy(id_col).agg(F.min("start").alias("s"), F.max("end").alias("e")), id_col, "left")
-    wide = wide.select(id_col, F.lit("MASQUE").alias("type"), F.least("lo", "s").alias("start"), F.greatest("hi", "e").alias("end")).join(docs.select(id_col, F.col(text).alias("_t")), id_col)
-    wide = wide.withColumn("value", F.substr("_t", F.col("start") + 1, F.col("end") - F.col("start"))).drop("_t")
-    kept = d.join(hit.select(id_col, "start", "end"), [id_col, "start", "end"], "left_anti").select(id_col, "type", "start", "end", "value")
-    return kept.unionByName(wide).withColumn("id", span_id(F.col("type"), F.col("start"), F.col("end")))
+    own = [F.col(id_col), F.col("type"), F.col("start"), F.col("end"), F.col("value")]
+    m = masks.select(id_col, F.lit("MASQUE").alias("type"), F.least("from", "to").alias("start"), F.greatest("from", "to").alias("end"), F.lit(None).cast("string").alias("value")).filter("start < end")
+    rows = detections.select(*own, F.lit(False).alias("_mask")).unionByName(m.select("*", F.lit(True).alias("_mask")))
+    rows = _islands(rows, id_col, [F.col("start"), F.col("end").desc(), F.col("_mask"), F.col("type")])
+    spans = rows.groupBy(id_col, "island").agg(F.bool_or("_mask").alias("_mask"), F.max("type").alias("_type"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("value").alias("_value"))
+    spans = spans.join(docs.select(id_col, F.col(text).alias("_t"), F.lit(True).alias("_known")), id_col, "left").filter("not _mask or _known")
+    value = F.when(F.col("_mask"), F.substr("_t", F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(F.col("_value"))
+    out = spans.select(id_col, F.when(F.col("_mask"), "MASQUE").otherwise(F.col("_type")).alias("type"), "start", "end", value.alias("value"))
+    return out.withColumn("id", span_id(F.col("type"), F.col("start"), F.col("end")))
 
 
 def active(detections: DataFrame, disabled: DataFrame, id_col: str = "doc_id") -> DataFrame:

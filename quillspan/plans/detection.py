@@ -135,18 +135,41 @@ def merge_sql(cands: str, source: str) -> str:
  SELECT doc_id, max(CASE WHEN best = 1 THEN type END) AS type, min(s) AS s, max(e) AS e FROM r GROUP BY doc_id, island"""
 
 
+def merged_sql(cands: str, source: str) -> str:
+    """doc_id, type, s, e, v, text, id of the merged spans."""
+    return f"SELECT m.doc_id, m.type, m.s, m.e, substr(t.text, m.s + 1, m.e - m.s) AS v, t.text, m.type || '-' || m.s || '-' || m.e AS id FROM ({merge_sql(cands, source)}) m JOIN ({source}) t USING (doc_id)"
+
+
+def greedy_sql(cands: str) -> str:
+    """doc_id, type, s, e, v of the candidates that overlap none of those kept before them."""
+    return f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, priority DESC, s, source, e, type, v) AS r FROM ({cands})),
+ g AS (SELECT doc_id, r, [struct_pack(s := s, e := e)] AS kept, true AS keep FROM o WHERE r = 1
+ UNION ALL SELECT o.doc_id, o.r, CASE WHEN len(list_filter(kept, lambda k: o.s < k.e AND k.s < o.e)) > 0 THEN kept ELSE list_append(kept, struct_pack(s := o.s, e := o.e)) END, len(list_filter(kept, lambda k: o.s < k.e AND k.s < o.e)) = 0 FROM g JOIN o ON o.doc_id = g.doc_id AND o.r = g.r + 1)
+ SELECT o.doc_id, type, s, e, v FROM o JOIN g USING (doc_id, r) WHERE keep"""
+
+
+def manual_sql(merged: str, masks: str, source: str) -> str:
+    """doc_id, type, span_start, span_end, value of spans and masks; an island with a mask is one mask."""
+    order = "(PARTITION BY doc_id ORDER BY s, e DESC, masked, type"
+    return f"""WITH x AS (SELECT doc_id, type, s, e, false AS masked FROM ({merged}) UNION SELECT doc_id, 'MASQUE', least(a, b), greatest(a, b), true FROM ({masks}) WHERE a <> b),
+ o AS (SELECT *, max(e) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+ g AS (SELECT *, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER {order} ROWS UNBOUNDED PRECEDING) AS island FROM o),
+ h AS (SELECT doc_id, CASE WHEN bool_or(masked) THEN 'MASQUE' ELSE any_value(type) END AS type, min(s) AS span_start, max(e) AS span_end FROM g GROUP BY doc_id, island)
+ SELECT h.*, substr(t.text, span_start + 1, span_end - span_start) AS value FROM h JOIN ({source}) t USING (doc_id)"""
+
+
 @query("merge_overlaps", f"SELECT doc_id, type, s AS span_start, e AS span_end FROM ({merge_sql(candidates_sql(CONTACTS), CONTACTS)})")
 def merge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = contacts(spark, sf_dir)
     return resolve.merge(rules.candidates(docs), docs).select("doc_id", "type", F.col("start").alias("span_start"), F.col("end").alias("span_end"))
 
 
-@query("detect_rules")
+@query("detect_rules", f"SELECT doc_id, s AS span_start, e AS span_end, v AS value, type, type || '-' || s || '-' || e AS id FROM ({greedy_sql(candidates_sql(CONTACTS))})")
 def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.detect(contacts(spark, sf_dir)), "type", "id")
 
 
-@query("resolve_overlaps")
+@query("resolve_overlaps", f"SELECT doc_id, s AS span_start, e AS span_end, v AS value, type FROM ({greedy_sql(candidates_sql('SELECT doc_id, text FROM documents'))})")
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return out(resolve.greedy(rules.candidates(docs)), "type")
@@ -163,7 +186,7 @@ def _detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return docs, resolve.merge(rules.candidates(docs), docs)
 
 
-_MERGED = f"SELECT m.doc_id, m.type, m.s, m.e, substr(t.text, m.s + 1, m.e - m.s) AS v, t.text, m.type || '-' || m.s || '-' || m.e AS id FROM ({merge_sql(candidates_sql(CONTACTS), CONTACTS)}) m JOIN ({CONTACTS}) t USING (doc_id)"
+_MERGED = merged_sql(candidates_sql(CONTACTS), CONTACTS)
 
 
 @query("active_detections", f"SELECT doc_id, id FROM ({_MERGED}) WHERE NOT (type = 'EMAIL' AND doc_id % 2 = 0)")
@@ -188,11 +211,12 @@ def add_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(resolve.add_manual(found, masks, docs), "type")
 
 
-@query("redetect_with_manual")
-def redetect_with_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = letters(spark, sf_dir)
-    masks = docs.select("doc_id", F.lit(3).alias("from"), F.lit(20).alias("to"))
-    return out(resolve.add_manual(context.detect(docs, words(spark), strict=True), masks, docs), "type")
+@query("add_masks", manual_sql(_MERGED, f"{_MASKS} UNION ALL SELECT c_custkey, CAST((c_custkey * 13) % 150 AS INT), CAST((c_custkey * 29) % 150 AS INT) FROM customer", CONTACTS))
+def add_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several masks a document, which may overlap each other."""
+    docs, found = _detections(spark, sf_dir)
+    masks = tables(spark, sf_dir, f"{_MASKS} UNION ALL SELECT c_custkey, CAST((c_custkey * 13) % 150 AS INT), CAST((c_custkey * 29) % 150 AS INT) FROM customer", "customer")
+    return out(resolve.add_manual(found, masks.select("doc_id", F.col("a").alias("from"), F.col("b").alias("to")), docs), "type")
 
 
 @query(
@@ -386,7 +410,11 @@ def _bracket(rows: str) -> str:
     return f"SELECT doc_id, text, s, last_e + length(regexp_extract(substr(text, CAST(last_e AS INT) + 1, 48), '^[ \\t\\x{{00A0}}]*\\([^()\\n]{{1,40}}\\)')) AS e FROM ({rows})"
 
 
-@query("detect_place_formula")
+# The word border of RE2 is ASCII and does not end an accented letter.
+_FORMULA_PLACES = f"SELECT * FROM ({_after_sql(context.PLACE_FORMULA, 'place')})".replace("(?:[àa]|au|aux|en|de|in|at)\\b", "(?:à|(?:a|au|aux|en|de|in|at)\\b)")
+
+
+@query("detect_place_formula", _value(_bracket(_FORMULA_PLACES)))
 def detect_place_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, t = _context(spark, sf_dir)
     return out(context.formula_places(t, docs))
@@ -418,13 +446,32 @@ def detect_proper_noun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.proper_nouns(t, docs))
 
 
-@query("detect_labelled_id")
+_HEAD = "^[A-Za-z0-9][A-Za-z0-9./_-]{0,63}(?: [A-Za-z0-9][A-Za-z0-9./_-]{0,63})*"
+_LABEL = re2(context.ID_LABEL).replace("(?<![\\p{L}\\d])", "").replace("(?!\\p{L})", "").replace("(?=[\\s\\x{00A0}]*[:\\d])", "")
+# What the label must not stand in or before is checked on the text around it.
+_ID_ENDS = f"""SELECT doc_id, text, x, regexp_extract(substr(text, x + 1, 80), '^[^:\\n]{{0,40}}?:[ \\t\\x{{00A0}}]*') AS colon, regexp_extract(substr(text, x + 1, 80), '^[ \\t\\x{{00A0}}°]*') AS direct FROM (SELECT *, CAST(s + length(v) AS INT) AS x FROM ({spans_sql(LETTERS, _LABEL)}))
+ WHERE NOT regexp_matches(gap, '[\\p{{L}}0-9]$') AND (lower(v) = 'n°' OR CASE WHEN regexp_full_match(v, '(?i)n[oº]\\.?') THEN regexp_matches(substr(text, x + 1), '^[\\s\\x{{00A0}}]*[:0-9]') ELSE NOT regexp_matches(substr(text, x + 1, 1), '\\p{{L}}') END)"""
+# The longest run of parts that hold a digit or are one to three capitals, if it has two digits.
+_LABELLED_IDS = f"""SELECT DISTINCT doc_id, text, b AS s, b + length(code) AS e FROM (SELECT *, array_to_string(ps[1:coalesce(nullif(list_position(list_transform(ps, lambda p: NOT (regexp_matches(p, '[0-9]') OR regexp_full_match(p, '[A-Z]{{1,3}}'))), true), 0), len(ps) + 1) - 1], ' ') AS code
+ FROM (SELECT *, string_split(regexp_extract(substr(text, b + 1), {quoted(_HEAD)}), ' ') AS ps FROM (SELECT *, CAST(x + length(CASE WHEN colon <> '' THEN colon ELSE direct END) AS INT) AS b FROM ({_ID_ENDS})))) WHERE length(regexp_replace(code, '[^0-9]', '', 'g')) >= 2"""
+
+
+@query("detect_labelled_id", _value(_LABELLED_IDS))
 def detect_labelled_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.labelled_ids(letters(spark, sf_dir)))
 
 
 # Maximal digit runs; the guards are checked on the characters around them.
-_LONG = f"SELECT * FROM (SELECT *, substr(text, s, 1) AS b, substr(text, CAST(s + length(v) AS INT) + 1) AS a FROM ({spans_sql(LETTERS, '[0-9]{5,}')})) WHERE (s = 0 OR NOT regexp_matches(b, '[\\p{{L}}0-9,.]')) AND NOT regexp_matches(a, '(?i)^(?:[\\p{{L}}0-9]|[.,][0-9]|\\s?(?:€|%|eur\\b|euros?\\b))')"
+def _guarded(pattern: str) -> str:
+    return f"SELECT * FROM (SELECT *, substr(text, s, 1) AS b, substr(text, CAST(s + length(v) AS INT) + 1) AS a FROM ({spans_sql(LETTERS, pattern)})) WHERE (s = 0 OR NOT regexp_matches(b, '[\\p{{L}}0-9,.]')) AND NOT regexp_matches(a, '(?i)^(?:[\\p{{L}}0-9]|[.,][0-9]|\\s?(?:€|%|eur\\b|euros?\\b))')"
+
+
+_LONG = _guarded("[0-9]{5,}")
+_GROUPED = f"SELECT * FROM ({_guarded('[0-9]{2,4}(?:[ .][0-9]{2,4}){2,}')}) WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7"
+# Runs of letters, digits and hyphens, cut at hyphens; neighbouring parts of capitals and digits alone are one code.
+_MIXED = f"""SELECT doc_id, any_value(text) AS text, min(b) FILTER (ok) AS s, max(b + length(p)) FILTER (ok) AS e FROM (SELECT *, sum(CASE WHEN ok OR p LIKE '-%' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, i ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, regexp_full_match(p, '[A-Z0-9]+') AS ok FROM (SELECT doc_id, text, i, k, ps[k] AS p, CAST(s + coalesce(list_sum(list_transform(ps[1:k-1], lambda x: length(x))), 0) AS INT) AS b
+ FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT *, regexp_extract_all(v, '[^-]+|-+') AS ps FROM ({spans_sql(LETTERS, '[\\p{L}0-9-]+')}))))))
+ GROUP BY doc_id, i, run HAVING coalesce(sum(length(p)) FILTER (ok), 0) >= 5 AND regexp_matches(regexp_extract(substr(any_value(text), min(b) FILTER (ok) + 1), '^[A-Z0-9-]*'), '[0-9]') AND regexp_matches(regexp_extract(substr(any_value(text), min(b) FILTER (ok) + 1), '^[A-Z0-9-]*'), '[A-Z]')"""
 
 
 @query("detect_long_number", f"SELECT doc_id, s AS span_start, CAST(s + length(v) AS INT) AS span_end, v AS value FROM ({_LONG})")
@@ -432,26 +479,49 @@ def detect_long_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.long_numbers(letters(spark, sf_dir)))
 
 
-@query("detect_grouped_number")
+@query("detect_grouped_number", f"SELECT doc_id, s AS span_start, CAST(s + length(v) AS INT) AS span_end, v AS value FROM ({_GROUPED})")
 def detect_grouped_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.grouped_numbers(letters(spark, sf_dir)))
 
 
-@query("detect_mixed_code")
+@query("detect_mixed_code", _value(_MIXED))
 def detect_mixed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.mixed_codes(letters(spark, sf_dir)))
 
 
-@query("detect_balanced")
+def _found(rows: str, kind: str, priority: int, source: str) -> str:
+    return f"SELECT doc_id, '{kind}' AS type, CAST(s AS INT) AS s, CAST(e AS INT) AS e, substr(text, CAST(s AS INT) + 1, CAST(e - s AS INT)) AS v, {priority} AS priority, {context.AFTER_RULES[source]} AS source FROM ({rows})"
+
+
+def all_sql(strict: bool) -> str:
+    """Candidates of all detectors, each once, merged."""
+    c = context
+    parts = [candidates_sql(LETTERS), _found(_LABELLED_IDS, "IDENTIFIANT", c.LABELLED, "labelled")]
+    parts += [_found(rows, "PERSONNE", c.PERSON, source) for rows, source in ((_CIVIL, "person"), (_FIRST, "person"), (_LABELLED, "person_label"))]
+    parts += [_found(rows, "LIEU", c.PLACE, source) for rows, source in ((_bracket(_FORMULA_PLACES), "place_formula"), (_DATELINE, "dateline"), (_bracket(_PLACES), "place"))]
+    if strict:
+        numbers = [(f"SELECT *, s + length(v) AS e FROM ({rows})", source) for rows, source in ((_LONG, "long"), (_GROUPED, "grouped"))]
+        parts += [_found(rows, "IDENTIFIANT", c.STRICT, source) for rows, source in (*numbers, (_MIXED, "mixed"))] + [_found(_PROPER, "NOM_PROPRE", c.PROPER, "proper")]
+    return merged_sql("SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ")", LETTERS)
+
+
+@query("detect_balanced", f"SELECT doc_id, s AS span_start, e AS span_end, v AS value, type, id FROM ({all_sql(False)})")
 def detect_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.detect(letters(spark, sf_dir), words(spark)), "type", "id")
 
 
-@query("detect_strict")
+@query("detect_strict", f"SELECT doc_id, s AS span_start, e AS span_end, v AS value, type, id FROM ({all_sql(True)})")
 def detect_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(context.detect(letters(spark, sf_dir), words(spark), strict=True), "type", "id")
 
 
+@query("redetect_with_manual", manual_sql(all_sql(True), f"SELECT doc_id, 3 AS a, 20 AS b FROM ({LETTERS})", LETTERS))
+def redetect_with_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = letters(spark, sf_dir)
+    masks = docs.select("doc_id", F.lit(3).alias("from"), F.lit(20).alias("to"))
+    return out(resolve.add_manual(context.detect(docs, words(spark), strict=True), masks, docs), "type")
+
+
 # ---------------------------------------------------------------- scalar functions
 
 

@@ -43,6 +43,16 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", "name", X.filtered_name(name).alias("filtered"), X.base_name(name).alias("base"), X.extension_of(name).alias("ext"), X.route(name, F.lit(None).cast("string"), head).alias("route"), filled.alias("filled"))
 
 
+_BASE = f"CASE WHEN {_HAS} AND {_DOT} > 0 THEN substr(name, 1, {_DOT}) WHEN name = '' THEN 'document' ELSE name END"
+_KINDS = {"merge": "_fusion.pdf", "pages": "_pages.pdf", "part": "_1-3.pdf", "parts": "_decoupe.zip", "docx": ".docx", "pdf": ".pdf"}
+
+
+@query("output_names", f"SELECT id, kind, {_BASE} || tail AS file FROM ({_NAMES}) CROSS JOIN (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in _KINDS.items())}) AS t(kind, tail)")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tables(spark, sf_dir, _NAMES, "part").withColumn("kind", F.explode(F.array(*(F.lit(k) for k in _KINDS))))
+    return n.select("id", "kind", X.output_name(F.col("name"), F.col("kind"), F.lit("1-3")).alias("file"))
+
+
 @query("blank_texts", "SELECT c_custkey AS id, regexp_full_match(repeat(' ', CAST(c_custkey % 3 AS INT)) || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE chr(9) || chr(10) END, '\\s*') AS blank FROM customer")
 def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -91,6 +101,11 @@ def reorder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.move_file(_files(spark, sf_dir), F.lit(3), F.lit(1)).select("set_id", "doc_id", "file_order")
 
 
+@query("remove_file", f"SELECT set_id, doc_id, CAST(CASE WHEN file_order > 1 THEN file_order - 1 ELSE file_order END AS INT) AS file_order FROM ({_FILES}) WHERE file_order <> 1")
+def remove_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.remove_file(_files(spark, sf_dir), F.lit(1)).select("set_id", "doc_id", "file_order")
+
+
 _TEXT = pick("doc_id", ["1-3, 5", "2", " ; ,", "1 – 2;4", "3-2", "x", "0-1", "1,,6", "9", "1-"])
 _RANGED = f"SELECT doc_id, page_count, {_TEXT} AS input FROM ({_FILES})"
 _PARSED = f"""SELECT doc_id, page_count, CASE WHEN len(parts) = 0 THEN 'empty' ELSE list_filter(list_transform(parts, lambda p: CASE WHEN NOT regexp_full_match(p, '[0-9]+(\\s*[-–]\\s*[0-9]+)?') THEN 'syntax' WHEN CAST(regexp_extract(p, '^[0-9]+') AS INT) < 1 OR CAST(regexp_extract(p, '[0-9]+$') AS INT) > page_count OR CAST(regexp_extract(p, '^[0-9]+') AS INT) > CAST(regexp_extract(p, '[0-9]+$') AS INT) THEN 'bounds' END), lambda e: e IS NOT NULL)[1] END AS error, parts
@@ -120,13 +135,13 @@ def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _page_rows(spark, sf_dir)
     chosen = p.filter("(page * 7 + doc_id) % 3 <> 0").groupBy("doc_id").agg(F.array(F.array_sort(F.collect_list("page"))).alias("groups"))
-    return pages.split_pages(p.select("doc_id", "page"), chosen).select("doc_id", "page", "place", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("_pages.pdf")).alias("file"))
+    return pages.split_pages(p.select("doc_id", "page"), chosen).select("doc_id", "page", "place", X.output_name(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.lit("pages")).alias("file"))
 
 
 @query("split_each_page", f"SELECT doc_id, CAST(page AS INT) AS part, 'doc_p' || (page + 1) || '.pdf' AS file FROM ({_PAGES})")
 def split_each_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark, sf_dir).select("doc_id", F.posexplode(pages.each_page(F.col("page_count"))).alias("part", "g"))
-    return f.select("doc_id", "part", F.concat(F.lit("doc_"), pages.group_label(F.col("g")), F.lit(".pdf")).alias("file"))
+    return f.select("doc_id", "part", X.output_name(F.lit("doc"), F.lit("part"), pages.group_label(F.col("g"))).alias("file"))
 
 
 @query("select_range", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_sort(list_distinct(list_concat([1, 4], range(least(2, k), greatest(2, k) + 1)))), ',') WHEN k IN (1, 4) THEN CASE k WHEN 1 THEN '4' ELSE '1' END ELSE array_to_string(list_sort([1, 4, k]), ',') END AS selected FROM (SELECT doc_id, doc_id % 6 AS k FROM ({_FILES}))")
@@ -196,8 +211,9 @@ _WORDS = "SELECT doc_id, n, line FROM (SELECT doc_id, unnest(range(1, len(ls) +
 def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("k", "str"))
+    rows = rows.withColumn("item", F.struct("n", "k"))
     size = F.when(F.col("n") % 9 == 0, 20.0).when(F.col("n") % 9 == 4, 15.0).otherwise(11.0)
-    return rows.select("doc_id", F.floor(F.col("n") / 20).cast("int").alias("page"), "str", (F.col("k") * 40.0).alias("x"), (F.col("n") % 20 * 18.0 + F.col("k") % 3).alias("y"), (F.length("str") * 5.0).alias("width"), size.alias("size"), (F.col("k") % 5 == 0).alias("bold"), (F.col("k") % 7 == 3).alias("italic"))
+    return rows.select("doc_id", F.floor(F.col("n") / 20).cast("int").alias("page"), "item", "str", (F.col("k") * 40.0).alias("x"), (F.col("n") % 20 * 18.0 + F.col("k") % 3).alias("y"), (F.length("str") * 5.0).alias("width"), size.alias("size"), (F.col("k") % 5 == 0).alias("bold"), (F.col("k") % 7 == 3).alias("italic"))
 
 
 @query("layout_lines")
@@ -290,6 +306,16 @@ def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.parts(files)[1]
 
 
+@query("package_errors", "SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'damaged' WHEN 1 THEN 'password' END AS error FROM customer")
+def package_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the packages are cut off, a third have the mark of an encrypted entry; none fails the job."""
+    docs = tables(spark, sf_dir, "SELECT c_custkey AS doc_id, c_name AS text FROM customer", "customer")
+    whole = docx.zip_parts(docs.select("doc_id", F.lit("word/document.xml").alias("name"), F.expr(_part_sql(_ESCAPED)).alias("xml")))
+    locked = F.unhex(F.regexp_replace(F.hex("content"), "(504B0102[0-9A-F]{8})0000", "$10100"))
+    content = F.when(F.col("doc_id") % 3 == 0, F.expr("substring(content, 1, 40)")).when(F.col("doc_id") % 3 == 1, locked).otherwise(F.col("content"))
+    return docx.unzip(whole.select("doc_id", content.alias("content"))).select("doc_id", "error").distinct()
+
+
 @query("docx_redact")
 def docx_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _packages(spark, sf_dir)
