@@ -131,3 +131,44 @@ def test_line_breaking(spark):
     df = spark.createDataFrame(list(enumerate(data)), "doc_id long, t string")
     got = {x.doc_id: x.l for x in df.select("doc_id", typeset.break_lines(F.col("t"), F.lit(8)).alias("l")).collect()}
     assert got == {i: greedy_lines(t, 8) for i, t in enumerate(data)}
+
+
+def test_masks_of_a_document(spark):
+    """Masks one after the other, each taking in all that it overlaps, in any order."""
+    rng = random.Random(5)
+    found, masks, want = [], [], []
+    text = "".join(chr(97 + i % 26) for i in range(60))
+    for d in range(60):
+        cuts = sorted(rng.sample(range(60), 8))
+        spans = [("X", a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        found += [(d, k, a, b, text[a:b]) for k, a, b in spans]
+        for _ in range(rng.randrange(4)):
+            a, b = rng.randrange(60), rng.randrange(60)
+            masks.append((d, a, b))
+            lo, hi = min(a, b), max(a, b)
+            if lo == hi:
+                continue
+            hit = [s for s in spans if s[1] < hi and lo < s[2]]
+            spans = [s for s in spans if s not in hit] + [("MASQUE", min([lo, *(s[1] for s in hit)]), max([hi, *(s[2] for s in hit)]))]
+        want += [(d, k, a, b, text[a:b]) for k, a, b in spans]
+    docs = spark.createDataFrame([(d, text) for d in range(60)], "doc_id long, text string")
+    made = resolve.add_manual(spark.createDataFrame(found, "doc_id long, type string, start int, end int, value string"), spark.createDataFrame(masks, "doc_id long, from int, to int"), docs)
+    assert sorted(tuple(r) for r in made.select("doc_id", "type", "start", "end", "value").collect()) == sorted(want)
+
+
+def test_mixed_codes(spark):
+    """The same codes as the plain pattern finds, and a text of any length."""
+    plain = regex.compile(r"(?<![\p{L}0-9])(?=[A-Z0-9-]*[0-9])(?=[A-Z0-9-]*[A-Z])[A-Z0-9](?:-*[A-Z0-9]){4,}(?![\p{L}0-9])")
+    rng = random.Random(6)
+    data = ["".join(rng.choice("AAB12--éx _") for _ in range(40)) for _ in range(2000)] + ["A1" * 20_000 + "-" * 200 + "B"]
+    got = context.mixed_codes(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).select("doc_id", "start", "end").collect()
+    assert sorted(map(tuple, got)) == sorted((i, *m.span()) for i, t in enumerate(data) for m in plain.finditer(t))
+
+
+def test_items_at_one_place(spark):
+    """They keep their order, whatever their text."""
+    from quillspan.operators import layout
+
+    rows = [(1, 0, i, s, 0.0, 0.0, 5.0, 10.0, False, False) for i, s in enumerate(["b", "a", "c"])]
+    made = layout.lines(spark.createDataFrame(rows, "doc_id long, page int, item int, str string, x double, y double, width double, size double, bold boolean, italic boolean"))
+    assert made.select(layout.text_of(made.runs)).first()[0] == "bac"
