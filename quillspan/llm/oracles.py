@@ -48,3 +48,36 @@ _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHI
 #: The largest page of equal payloads is the response of the others.
 OP8 = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS t, row_number() OVER w AS r, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST))
  SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, {_BASE32.format("t")} AS payload_digest, CASE WHEN r = 1 OR m IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN m END AS refers_to, url FROM p"""
+
+_D = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+#: Rounds written out one by one; ties of a part go to the smaller entry.
+OP12 = """WITH v AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, label, r, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS x FROM v, range(8) t(part)),
+ c0 AS MATERIALIZED (SELECT part, r - 1 AS e, x AS c FROM p WHERE r <= 16)""" + "".join(
+    f""",
+ a{i} AS MATERIALIZED (SELECT p.r, p.part, min(p.vec_id) AS vec_id, min(p.label) AS label, any_value(x) AS x, min({_D}) AS d, arg_min(e, {_D} * 16 + e) AS e FROM p JOIN c{i} USING (part) GROUP BY p.r, p.part)"""
+    + (
+        f""",
+ n{i} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM (SELECT part, e, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT part, e, x, unnest(range(1, len(x) + 1)) AS j FROM a{i}) GROUP BY part, e, j) GROUP BY part, e),
+ c{i + 1} AS MATERIALIZED (SELECT part, e, CAST(coalesce(n{i}.c, c{i}.c) AS BIGINT[]) AS c FROM c{i} LEFT JOIN n{i} USING (part, e))"""
+        if i < 6
+        else ""
+    )
+    for i in range(7)
+) + """,
+ o AS (SELECT r, min(vec_id) AS vec_id, min(label) AS label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c6) AS codebooks_sha256 FROM o"""
+
+#: Every pair of groups over every kept term of their language, zero counts included.
+OP13 = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+ w AS (SELECT r, lang, source, unnest(ws) AS t FROM d),
+ k AS (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT r) >= 30),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, t, count(*) AS c FROM w JOIN k USING (lang, t) GROUP BY lang, source, t),
+ x AS (SELECT g.lang, g.source, k.t, coalesce(c.c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, t)),
+ p AS (SELECT lang, source, t, c, 1 + 1000000000 * CAST(c + 5 AS HUGEINT) // CAST(sum(c) OVER s + 5 * count(*) OVER s AS HUGEINT) AS p FROM x WINDOW s AS (PARTITION BY lang, source)),
+ l AS (SELECT lang, t, 1 + 1000000000 * CAST(c + 5 AS HUGEINT) // CAST(sum(c) OVER s + 5 * count(*) OVER s AS HUGEINT) AS q FROM (SELECT lang, t, sum(c) AS c FROM c GROUP BY lang, t) WINDOW s AS (PARTITION BY lang)),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, CAST(p - q AS BIGINT) FROM p JOIN l USING (lang, t) WHERE c > 0 AND p > q)
+ SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM u) WHERE part = 'pair' OR rank <= 50"""

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, jaccard, lm, mixing, oracles, substring, suffix, token_store, toxicity, warc
+from . import ann, balls, decontaminate, divergence, jaccard, lm, mixing, oracles, substring, suffix, token_counts, token_store, toxicity, warc
 from .common import read
 
 #: Folder of public tokenizer files; a parameter of the operators.
@@ -62,6 +62,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_difference_cover": op2_difference_cover,
@@ -73,6 +85,9 @@ QUERIES = {
     "op8_warc_salvage": op8_warc_salvage,
     "op9_entropy_mix": op9_entropy_mix,
     "op10_decontaminate": op10_decontaminate,
+    "op11_whole_token_counts": op11_whole_token_counts,
+    "op12_ball_codes": op12_ball_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_difference_cover": oracles.OP2,
@@ -80,4 +95,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_relative_lz": oracles.OP7,
     "op8_warc_salvage": oracles.OP8,
     "op10_decontaminate": oracles.OP10,
+    "op12_ball_codes": oracles.OP12,
+    "op13_source_divergence": oracles.OP13,
 }

@@ -12,7 +12,7 @@ from .fixtures import DATA, rows
 def test_oracle(spark, name):
     got = queries.QUERIES[name](spark, DATA)
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = duck.sql(queries.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
