@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
 from quillspan.operators import docx, layout, pages, redact, rules
+from quillspan.sources import files, scratch
 
 from .detection import contacts, quoted, re2, spans_sql, tables
 from .sources import ITEMS, pick
@@ -65,6 +66,15 @@ def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
+@query("text_files", "SELECT 'doc' || doc_id % 700 || '_prv.txt' AS name, octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS digest FROM documents")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is written as a file, some under equal names, and read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc"), (F.col("doc_id") % 700).cast("string"), F.lit(".txt")).alias("name"), "text")
+    path = scratch.folder(spark)
+    files.write_texts(docs, path, text="text")
+    return files.read_whole(spark, path, columns="name string, size long, content binary").select("name", "size", F.md5("content").alias("digest"))
+
+
 @query("xml_entities", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS encoded, html AS decoded FROM pages")
 def xml_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.encode_xml(F.col("html")).alias("encoded"))
@@ -205,9 +215,6 @@ def item_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- layout
 
 #: Words of documents as styled items, line by line.
-_WORDS = "SELECT doc_id, n, line FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, ls[n] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE line <> ''"
-
-
 def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", F.posexplode(F.split("line", " ")).alias("k", "str"))
