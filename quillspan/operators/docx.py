@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import SPACE, decode_xml, encode_xml
+from quillspan.operators.intervals import overlapping
 
 # The parts that are shown, in reading order; the pieces of a part that make text; the properties that name people.
 PARTS = ["document", "header[0-9]*", "footer[0-9]*", "footnotes", "endnotes", "comments"]
@@ -72,23 +73,31 @@ def clear_app(xml: Column) -> Column:
     return F.regexp_replace(xml, APP, "<$1></$1>")
 
 
-def tokens(xml: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys, pos, token, at (its place in the XML), piece (its text), is_node, open_tag."""
+def _pieces(xml: DataFrame, keys: list[str]) -> DataFrame:
+    """A part cut into its tokens and what stands before each: keys, pos, token (null: the end of the part), gap."""
     pairs = F.arrays_zip(F.regexp_extract_all("xml", F.lit(TOKEN), F.lit(0)).alias("token"), F.split("xml", TOKEN, -1).alias("gap"))
-    rows = xml.select(*keys, F.posexplode(pairs).alias("pos", "m")).filter("m.token is not null").select(*keys, "pos", "m.token", "m.gap")
-    w = W.partitionBy(*keys).orderBy("pos")
+    return xml.select(*keys, F.posexplode(pairs).alias("pos", "m")).select(*keys, "pos", "m.token", "m.gap")
+
+
+def tokens(xml: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, pos, token, piece (its text), is_node, open_tag."""
+    rows = _pieces(xml, keys).filter("token is not null")
     node = F.col("token").endswith("</w:t>")
     tag = F.regexp_extract("token", "^<w:t[^>]*>", 0)
     text = F.when(node, decode_xml(F.regexp_extract("token", ">([^<]*)<", 1))).when(F.col("token") == "<w:tab/>", "\t").when(F.col("token").startswith("<w:t"), "").otherwise("\n")
-    at = F.sum(F.length("gap") + F.length("token")).over(w) - F.length("token")
-    return rows.select(*keys, "pos", "token", at.cast("int").alias("at"), text.alias("piece"), node.alias("is_node"), F.when(node, tag).alias("open_tag"))
+    return rows.select(*keys, "pos", "token", text.alias("piece"), node.alias("is_node"), F.when(node, tag).alias("open_tag"))
 
 
-def parts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files doc_id, name, xml.  Gives the tokens of all shown parts with `start` in the document's text (and the
-    part's accepted XML), and doc_id, text."""
+def _shown(files: DataFrame) -> DataFrame:
+    """The parts that are shown, without tracked changes, in reading order by part_class and name."""
     rank = F.coalesce(*(F.when(F.col("name").rlike(f"^word/{p}\\.xml\\z"), i) for i, p in enumerate(PARTS)))
-    shown = files.withColumn("part_class", rank).filter("part_class is not null").withColumn("xml", accept_changes(F.col("xml")))
+    return files.withColumn("part_class", rank).filter("part_class is not null").withColumn("xml", accept_changes(F.col("xml")))
+
+
+def parts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files doc_id, name, xml.  Gives the tokens of all shown parts with `start` in the document's text, and
+    doc_id, text."""
+    shown = _shown(files)
     t = tokens(shown, ["doc_id", "part_class", "name"])
     body = shown.select("doc_id", "part_class", "name").join(t.groupBy("doc_id", "part_class", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("body")), ["doc_id", "part_class", "name"], "left")
     body = body.withColumn("body", F.coalesce("body", F.lit("")))
@@ -98,32 +107,32 @@ def parts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = body.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_class", "name", "body"))), lambda x: x["body"]), "").alias("text"))
     inside = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy("doc_id", "part_class", "name").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = t.withColumn("_in", inside).join(body.select("doc_id", "name", "before"), ["doc_id", "name"])
-    placed = placed.withColumn("start", (F.col("before") + F.col("_in")).cast("int")).drop("_in", "before")
-    return placed.join(shown.select("doc_id", "name", "xml"), ["doc_id", "name"]), text
+    return placed.withColumn("start", (F.col("before") + F.col("_in")).cast("int")).drop("_in", "before"), text
 
 
 def redact(files: DataFrame, plan: DataFrame) -> DataFrame:
     """doc_id, name, xml with each replacement's label where its value starts and the rest of the value gone.
 
-    plan: doc_id, start, end, label over the text that parts() gives.
+    plan: doc_id, start, end, label over the text that parts() gives; its spans do not overlap.  Text nodes meet the
+    plan by position; a label goes to the first node that has a character of its span.  A node that is touched is
+    written anew, all else stays, and a part is its pieces in order, so the work grows with the length of the parts.
     """
     t, _ = parts(files)
-    nodes = t.filter("is_node").select("doc_id", "name", "part_class", "pos", "at", "token", "open_tag", "piece", "start", (F.col("start") + F.length("piece")).alias("end"))
-    p = plan.select("doc_id", F.col("start").alias("r0"), F.col("end").alias("r1"), "label")
-    hit = nodes.join(p, "doc_id").filter("r0 < end and start < r1")
-    hit = hit.withColumn("_first", F.row_number().over(W.partitionBy("doc_id", "r0").orderBy("start", "part_class", "name", "pos")) == 1)
     keys = ["doc_id", "name", "pos"]
-    cuts = hit.groupBy(*keys, "at", "token", "open_tag", "piece", "start").agg(F.array_sort(F.collect_list(F.struct(F.greatest(F.col("r0") - F.col("start"), F.lit(0)).alias("a"), F.least(F.col("r1") - F.col("start"), F.length("piece")).alias("b"), F.when(F.col("_first"), F.col("label")).otherwise("").alias("label")))).alias("c"))
-    before = F.concat(F.array(F.lit(0)), F.transform("c", lambda x: x["b"]))
-    text = F.concat(F.array_join(F.transform("c", lambda x, i: F.concat(F.substr("piece", F.get(before, i) + 1, x["a"] - F.get(before, i)), x["label"])), ""), F.substr("piece", F.element_at(before, -1) + 1))
+    nodes = t.filter("is_node").select("doc_id", "name", "pos", "part_class", "open_tag", "piece", "start", (F.col("start") + F.length("piece")).alias("end"))
+    p = plan.select("doc_id", F.col("start").alias("r0"), F.col("end").alias("r1"), "label")
+    hit = overlapping(nodes, p, "doc_id", "start", "end", "r0", "r1")
+    # of the nodes of one span: those with a character of it first, in reading order
+    by_span = W.partitionBy("doc_id", "r0").orderBy(F.col("piece") == "", "part_class", "name", "pos")
+    a, b = F.greatest(F.col("r0") - F.col("start"), F.lit(0)), F.least(F.col("r1") - F.col("start"), F.length("piece"))
+    hit = hit.withColumn("_label", F.when((F.row_number().over(by_span) == 1) & (F.col("piece") != ""), F.col("label")).otherwise("")).withColumns({"a": a, "b": b})
+    kept = F.substr("piece", F.coalesce(F.lag("b").over(W.partitionBy(*keys).orderBy("a")), F.lit(0)) + 1, F.col("a") - F.coalesce(F.lag("b").over(W.partitionBy(*keys).orderBy("a")), F.lit(0)))
+    cuts = hit.withColumn("_part", F.concat(kept, "_label")).groupBy(*keys, "open_tag", "piece").agg(F.array_sort(F.collect_list(F.struct("a", "_part"))).alias("c"), F.max("b").alias("last"))
+    text = F.concat(F.array_join(F.transform("c", lambda x: x["_part"]), ""), F.substr("piece", F.col("last") + 1))
     tag = F.when(F.instr("open_tag", "xml:space=") > 0, F.col("open_tag")).otherwise(F.regexp_replace("open_tag", "^<w:t", '<w:t xml:space="preserve"'))
-    new = cuts.select("doc_id", "name", "at", F.length("token").alias("n"), F.concat(tag, encode_xml(text), F.lit("</w:t>")).alias("put"))
-    edits = new.groupBy("doc_id", "name").agg(F.array_sort(F.collect_list(F.struct("at", "n", "put"))).alias("e"))
-    both = files.join(edits, ["doc_id", "name"], "left")
-    shown = F.col("name").rlike("^word/(?:" + "|".join(PARTS) + ")\\.xml\\z")
-    x = F.when(shown, accept_changes(F.col("xml"))).otherwise(F.col("xml"))
-    past = F.concat(F.array(F.lit(0)), F.transform("e", lambda y: y["at"] + y["n"]))
-    spliced = F.concat(F.array_join(F.transform("e", lambda y, i: F.concat(F.substr("_x", F.get(past, i) + 1, y["at"] - F.get(past, i)), y["put"])), ""), F.substr("_x", F.element_at(past, -1) + 1))
-    out = both.withColumn("_x", x).withColumn("_y", F.when(F.col("e").isNull(), F.col("_x")).otherwise(spliced))
+    new = cuts.select(*keys, F.concat(tag, encode_xml(text), F.lit("</w:t>")).alias("put"))
+    pieces = _pieces(_shown(files), ["doc_id", "name"]).join(new, keys, "left").select(*keys, F.concat("gap", F.coalesce("put", "token", F.lit(""))).alias("out"))
+    whole = pieces.groupBy("doc_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("_new"))
+    out = files.join(whole, ["doc_id", "name"], "left").withColumn("_y", F.coalesce("_new", "xml"))
     final = F.when(F.col("name").rlike("^word/.*\\.xml\\z"), clear_authors(F.col("_y"))).when(F.col("name") == "docProps/core.xml", clear_core(F.col("_y"))).when(F.col("name") == "docProps/app.xml", clear_app(F.col("_y"))).otherwise(F.col("_y"))
     return out.select("doc_id", "name", final.alias("xml"))

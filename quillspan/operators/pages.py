@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspan.operators.intervals import overlapping
+from quillspan.operators.metric import prefix_widths, range_width
+
 from quillspan.functions.text import SPACE
 
 # Margin around a box as a share of the text height; rendering limits; reach of letters above and below the baseline.
@@ -90,12 +93,18 @@ def page_text(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return text, spans.select("doc_id", "page", "item", start.alias("start"), (start + F.length("str")).alias("end"))
 
 
-def boxes(ranges: DataFrame, items: DataFrame, spans: DataFrame) -> DataFrame:
-    """P10: rectangles over the parts of items that ranges (doc_id, start, end) reach."""
+def boxes(ranges: DataFrame, items: DataFrame, spans: DataFrame, by_width: bool = False) -> DataFrame:
+    """P10: rectangles over the parts of items that ranges (doc_id, start, end) reach.
+
+    A part of a horizontal item lies where its characters do: all as wide as each other or, by_width, by the table of
+    advances.
+    """
     s = spans.select("doc_id", "page", "item", F.col("start").alias("s0"), F.col("end").alias("s1")).join(items, ["doc_id", "page", "item"])
-    hit = ranges.select("doc_id", "start", "end").join(s, "doc_id").filter("start < s1 and s0 < end and greatest(start, s0) < least(end, s1)")
-    total = F.greatest(F.length("str"), F.lit(1))
-    at = lambda x: F.col("left") + F.col("width") * (x - F.col("s0")) / total
+    s = s.filter("s0 < s1").withColumn("_widths", prefix_widths("str") if by_width else F.lit(None))
+    hit = overlapping(ranges.select("doc_id", "start", "end").filter("start < end"), s, "doc_id", "start", "end", "s0", "s1")
+    part = (lambda x: range_width(F.col("_widths"), F.lit(0), (x - F.col("s0")).cast("int"))) if by_width else (lambda x: x - F.col("s0"))
+    total = F.greatest(F.element_at("_widths", -1) if by_width else F.length("str"), F.lit(1))
+    at = lambda x: F.col("left") + F.col("width") * part(x) / total
     x0 = F.when(F.col("horizontal"), at(F.greatest("start", "s0"))).otherwise(F.col("left"))
     x1 = F.when(F.col("horizontal"), at(F.least("end", "s1"))).otherwise(F.col("left") + F.col("width"))
     m = F.col("height") * MARGIN

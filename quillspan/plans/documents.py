@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as X
-from quillspan.operators import docx, layout, pages, redact, rules
+from quillspan.operators import docx, layout, metric, pages, redact, rules
 from quillspan.sources import files, scratch
 
-from .detection import contacts, quoted, re2, spans_sql, tables
-from .sources import ITEMS, pick
+from .detection import contacts, quoted, re2, redact_sql, rule_sql, spans_sql, tables
+from .sources import CONTACTS, ITEMS, pick
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -189,6 +189,22 @@ def boxes_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.boxes(ranges, items, spans).select("doc_id", "page", "item", *(F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")))
 
 
+_ITEM_CHARS = f"SELECT doc_id, page, item, unnest(range(1, length(str) + 1)) AS i, unnest(string_split(str, '')) AS c FROM ({ITEMS})"
+
+
+@query(
+    "boxes_by_width",
+    f"""WITH s AS ({_ITEM_SPANS}), h AS (SELECT s.*, greatest(r0, s) - s AS a, least(r1, s + length(str)) - s AS b FROM s JOIN ({_RANGE}) USING (doc_id) WHERE greatest(r0, s) < least(r1, s + length(str))),
+ w AS (SELECT doc_id, page, item, any_value(a) AS a, sum({metric.sql_advance('c')}) AS total, coalesce(sum(CASE WHEN i <= a THEN {metric.sql_advance('c')} END), 0) AS x0, sum(CASE WHEN i <= b THEN {metric.sql_advance('c')} END) AS x1 FROM h JOIN ({_ITEM_CHARS}) USING (doc_id, page, item) GROUP BY ALL)
+ SELECT doc_id, page, item, round(CASE WHEN horizontal THEN left_ + width * x0 / total ELSE left_ END - 0.15 * height, 6) AS x, round(CASE WHEN horizontal THEN width * (x1 - x0) / total ELSE width END + 0.3 * height, 6) AS width FROM h JOIN w USING (doc_id, page, item)""",
+)
+def boxes_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = tables(spark, sf_dir, ITEMS, "lineitem").withColumnsRenamed({"left_": "left", "top_": "top"})
+    _, spans = pages.page_text(items)
+    ranges = tables(spark, sf_dir, _RANGE, "lineitem").select("doc_id", F.col("r0").alias("start"), F.col("r1").alias("end"))
+    return pages.boxes(ranges, items, spans, by_width=True).select("doc_id", "page", "item", *(F.round(c, 6).alias(c) for c in ("x", "width")))
+
+
 @query("render_plan", f"SELECT doc_id, page, n_boxes, round(least(2.0, 4000.0 / greatest(600.0 + page * 900, 800.0 * (page + 1))), 6) AS scale FROM (SELECT doc_id, page, count(*) AS n_boxes FROM ({_ITEM_SPANS}) JOIN ({_RANGE}) USING (doc_id) WHERE greatest(r0, s) < least(r1, s + length(str)) GROUP BY doc_id, page)")
 def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = tables(spark, sf_dir, ITEMS, "lineitem").withColumnsRenamed({"left_": "left", "top_": "top"})
@@ -323,7 +339,19 @@ def package_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.unzip(whole.select("doc_id", content.alias("content"))).select("doc_id", "error").distinct()
 
 
-@query("docx_redact")
+#: The text of these packages, and each of its lines before and after the redaction.
+_PACKAGE_TEXT = f"SELECT doc_id, replace(text, chr(10), chr(10) || chr(9)) || chr(10) || 'Head ' || chr(10) || doc_id || chr(10) AS text FROM ({CONTACTS})"
+_PACKAGE_FOUND = " UNION ALL ".join(f"SELECT r.*, '{rules.BY_NAME[n].type}' AS type, t.text FROM ({rule_sql(n, _PACKAGE_TEXT)}) r JOIN ({_PACKAGE_TEXT}) t USING (doc_id)" for n in ("email", "ip", "date_fr"))
+_PACKAGE_LINES = f"SELECT doc_id, unnest(range(len(a))) AS i, len(a) AS n, unnest(a) AS old, unnest(b) AS new FROM (SELECT doc_id, string_split(t.text, chr(10)) AS a, string_split(r.redacted, chr(10)) AS b FROM ({_PACKAGE_TEXT}) t JOIN ({redact_sql(_PACKAGE_FOUND, _PACKAGE_TEXT)}) r USING (doc_id))"
+_ENCODED = "replace(replace(replace(ltrim(new, chr(9)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    "docx_redact",
+    f"""SELECT doc_id, 'word/document.xml' AS name, string_agg('<w:p><w:r>' || CASE WHEN i > 0 THEN '<w:tab/>' ELSE '' END || CASE WHEN i = 0 OR old <> new THEN '<w:t xml:space="preserve">' ELSE '<w:t>' END || {_ENCODED} || '</w:t></w:r></w:p>', '' ORDER BY i) AS xml FROM ({_PACKAGE_LINES}) WHERE i < n - 3 GROUP BY doc_id
+ UNION ALL SELECT c_custkey, 'word/header1.xml', '<w:p><w:t>Head </w:t><w:t/><w:br/><w:t>' || c_custkey || '</w:t></w:p>' FROM customer
+ UNION ALL SELECT c_custkey, 'docProps/core.xml', '<a><dc:creator></dc:creator><dc:title x="1"></dc:title><z>kept</z></a>' FROM customer""",
+)
 def docx_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _packages(spark, sf_dir)
     _, text = docx.parts(files)
