@@ -239,7 +239,23 @@ def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.floor(F.col("n") / 20).cast("int").alias("page"), "item", "str", (F.col("k") * 40.0).alias("x"), (F.col("n") % 20 * 18.0 + F.col("k") % 3).alias("y"), (F.length("str") * 5.0).alias("width"), size.alias("size"), (F.col("k") % 5 == 0).alias("bold"), (F.col("k") % 7 == 3).alias("italic"))
 
 
-@query("layout_lines")
+#: The same items; the fold over a page's items that the sweep replaces; lines, runs, spaces between items.
+_PLACED = """SELECT doc_id, n // 20 AS page, n, k, str, k * 40.0 AS x, n % 20 * 18.0 + k % 3 AS y, length(str) * 5.0 AS width, CASE WHEN n % 9 = 0 THEN 20.0 WHEN n % 9 = 4 THEN 15.0 ELSE 11.0 END AS size, k % 5 = 0 AS bold, k % 7 = 3 AS italic
+ FROM (SELECT doc_id, n, unnest(range(len(ws))) AS k, unnest(ws) AS str FROM (SELECT doc_id, n, string_split(line, ' ') AS ws FROM (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))) WHERE str <> ''"""
+_NEAR = "list_position(list_transform(a.heads, lambda h: abs(h.y - i.y) < greatest(h.size, i.size) * 0.5), true)"
+_S = re2(X.SPACE)
+_LINES_SQL = f"""items AS MATERIALIZED ({_PLACED}),
+ heads AS (SELECT doc_id, page, list_reduce(list_prepend(struct_pack(heads := CAST([] AS STRUCT(y DOUBLE, size DOUBLE)[]), lines := CAST([] AS BIGINT[]), y := CAST(0 AS DOUBLE), size := CAST(0 AS DOUBLE)), list(struct_pack(heads := CAST([] AS STRUCT(y DOUBLE, size DOUBLE)[]), lines := CAST([] AS BIGINT[]), y := CAST(y AS DOUBLE), size := CAST(size AS DOUBLE)) ORDER BY y, x, n, k)),
+  lambda a, i: struct_pack(heads := CASE WHEN {_NEAR} > 0 THEN list_transform(a.heads, lambda h, j: CASE WHEN j = {_NEAR} THEN struct_pack(y := h.y, size := greatest(h.size, i.size)) ELSE h END) ELSE list_append(a.heads, struct_pack(y := i.y, size := i.size)) END, lines := list_append(a.lines, CASE WHEN {_NEAR} > 0 THEN {_NEAR} ELSE len(a.heads) + 1 END), y := i.y, size := i.size)) AS r FROM items GROUP BY doc_id, page),
+ each AS (SELECT i.*, h.r.lines[row_number() OVER (PARTITION BY i.doc_id, i.page ORDER BY y, x, n, k)] AS line FROM items i JOIN heads h USING (doc_id, page)),
+ spaced AS (SELECT *, str || CASE WHEN NOT regexp_matches(str, '[{_S}]$') AND NOT regexp_matches(lead(str) OVER o, '^[{_S}]') AND lead(x) OVER o - (x + width) > lead(size) OVER o * 0.15 THEN ' ' ELSE '' END AS piece, CASE WHEN bold = lag(bold) OVER o AND italic = lag(italic) OVER o THEN 0 ELSE 1 END AS turn FROM each WINDOW o AS (PARTITION BY doc_id, page, line ORDER BY x, y, n, k)),
+ numbered AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, page, line ORDER BY x, y, n, k ROWS UNBOUNDED PRECEDING) AS run FROM spaced),
+ runs AS (SELECT doc_id, page, line, run, string_agg(piece, '' ORDER BY x, y, n, k) AS t, any_value(bold) AS bold, any_value(italic) AS italic, min(y) AS y, max(size) AS size, min(x) AS x, max(run) OVER (PARTITION BY doc_id, page, line) AS last FROM numbered GROUP BY doc_id, page, line, run),
+ trimmed AS (SELECT *, CASE WHEN run = 1 AND run = last THEN regexp_replace(regexp_replace(t, '^[{_S}]+', ''), '[{_S}]+$', '') WHEN run = 1 THEN regexp_replace(t, '^[{_S}]+', '') WHEN run = last THEN regexp_replace(t, '[{_S}]+$', '') ELSE t END AS text FROM runs),
+ lines AS MATERIALIZED (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, line) - 1 AS line_no, y, x, size, texts, bolds, italics FROM (SELECT doc_id, page, line, min(y) AS y, min(x) AS x, max(size) AS size, list(text ORDER BY run) FILTER (text <> '') AS texts, list(bold ORDER BY run) FILTER (text <> '') AS bolds, list(italic ORDER BY run) FILTER (text <> '') AS italics FROM trimmed GROUP BY doc_id, page, line))"""
+
+
+@query("layout_lines", f"WITH {_LINES_SQL} SELECT doc_id, CAST(page AS INT) AS page, CAST(line_no AS INT) AS line_no, y, x, size, array_to_string(texts, '') AS line_text, CAST(len(texts) AS INT) AS n_runs FROM lines WHERE len(texts) > 0")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layout.lines(_styled(spark, sf_dir))
     return rows.select("doc_id", "page", "line_no", "y", "x", "size", layout.text_of(F.col("runs")).alias("line_text"), F.size("runs").alias("n_runs"))
@@ -260,7 +276,18 @@ def heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), layout.heading_level(F.col("p_size").cast("double"), F.lit(20.0)).alias("level"))
 
 
-@query("layout_blocks")
+@query(
+    "layout_blocks",
+    f"""WITH {_LINES_SQL},
+ full_lines AS (SELECT *, array_to_string(texts, '') AS whole, floor(size * 2 + 0.5) / 2 AS half FROM lines WHERE len(texts) > 0),
+ bodies AS (SELECT doc_id, half AS body FROM (SELECT doc_id, half, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(whole)) DESC, min(page * 1000000 + line_no)) AS r FROM full_lines GROUP BY doc_id, half) WHERE r = 1),
+ levels AS (SELECT *, CASE WHEN size / body >= 1.8 THEN 1 WHEN size / body >= 1.45 THEN 2 WHEN size / body >= 1.25 THEN 3 END AS level FROM full_lines JOIN bodies USING (doc_id)),
+ ons AS (SELECT *, coalesce(y - lag(y) OVER o <= 1.6 * greatest(size, lag(size) OVER o) AND abs(size - lag(size) OVER o) <= 0.1 * lag(size) OVER o AND NOT regexp_matches(whole, '(?i)^[{_S}]*(?:[•◦▪‣–—-]|[0-9]+[.)]|[a-z][.)])[{_S}]') AND (level IS NULL) = lag(level IS NULL) OVER o, false) AS going FROM levels WINDOW o AS (PARTITION BY doc_id, page ORDER BY line_no)),
+ blocks AS (SELECT *, sum(CASE WHEN going THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS block, coalesce(lead(going) OVER o, false) AS goes_on, regexp_matches(texts[-1], '[A-Za-zÀ-ÿ]-$') AND regexp_matches(lead(whole) OVER o, '^[a-zà-ÿ]') AS cut FROM ons WINDOW o AS (PARTITION BY doc_id, page ORDER BY line_no)),
+ own AS (SELECT doc_id, page, block, CASE WHEN arg_min(coalesce(level, 0), line_no) > 0 THEN 'heading' ELSE 'paragraph' END AS kind, nullif(arg_min(coalesce(level, 0), line_no), 0) AS level, string_agg(CASE WHEN goes_on AND cut THEN substr(whole, 1, length(whole) - 1) WHEN goes_on THEN whole || ' ' ELSE whole END, '' ORDER BY line_no) AS block_text FROM blocks GROUP BY doc_id, page, block),
+ every AS (SELECT * FROM own UNION ALL SELECT doc_id, page, 0, 'pageBreak', NULL, '' FROM (SELECT DISTINCT doc_id, n // 20 AS page, min(n // 20) OVER (PARTITION BY doc_id) AS f FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents)) WHERE page > f)
+ SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, block) - 1 AS INT) AS block_no, kind, CAST(level AS INT) AS level, block_text FROM every""",
+)
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = layout.blocks(_styled(spark, sf_dir))
     return b.select("doc_id", "page", "block_no", "kind", "level", layout.text_of(F.col("runs")).alias("block_text"))
