@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -17,17 +18,18 @@ from contextlib import contextmanager, suppress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Files whose numbers are broadcast (some 200 bytes each).
+FEW_FILES = 50_000
 #: Bytes of text that make one chunk.
 CHUNK_BYTES = 4 << 20
 #: What a row weighs in a chunk besides its text, so that the number of rows of a chunk is bounded.
 ROW_BYTES = 16
 #: Bytes of text whose keys one bucket of an exchange takes.
 BUCKET_BYTES = 16 << 20
-#: Bytes hashed at once; the power tables of this length stay in the CPU cache.
-SLICE = 1 << 17
 
 SPACE_WORD = np.ones(256, bool)
 SPACE_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -40,9 +42,13 @@ LOWER[0x41:0x5B] += 0x20
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE[LOWER]
 _R, _M = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _K1, _K2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_K3 = np.uint64(0x9FB21C651E98DF25)
+#: The first n bytes of a block, by n.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 64
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -131,17 +137,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACE_W
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of each word, from running sums over slices of the buffer."""
-    table, out, i = _BYTE_LOWER if lower else _BYTE, np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE)))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        run = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(table[data[lo:hi]] * powers(_R, hi - lo), out=run[1:])
-        s = starts[i:j] - lo
-        out[i:j] = (run[ends[i:j] - lo] - run[s]) * powers(_R, hi - lo, True)[s]
-        i = j
-    return mix(out)
+    """64-bit hash of each word: its blocks of eight bytes, each mixed into what the ones before gave, so that no rule of
+    arithmetic makes two words equal; words of more than 64 bytes by a digest."""
+    size = ends - starts
+    raw = np.concatenate([LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    h = mix(size.astype(np.uint64) * _K3 + np.uint64(_R))
+    for j in range(LONG_WORD // 8):
+        at = np.flatnonzero((size > 8 * j) & (size <= LONG_WORD))
+        if not len(at):
+            break
+        block = blocks[starts[at] + 8 * j] & _HEADS[np.minimum(size[at] - 8 * j, 8)]
+        h[at] = mix((h[at] ^ block) * _K3 + np.uint64(_R))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def windows(h: np.ndarray, k: int, base: int = _M) -> np.ndarray:
@@ -323,6 +333,21 @@ def dropped(*tables: DataFrame) -> None:
         cleaned(tables[0].sparkSession)
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a number for each, the same at each reading however the files are split: the file's number among all
+    files, and the row's within the file.  Rows that come from no Parquet files are stored first."""
+    try:
+        from_files = rows.select("*", F.col("_metadata.file_path").alias("_quillspan_file"), F.col("_metadata.row_index").alias("_quillspan_index"))
+    except AnalysisException:
+        return numbered(stored(rows), name)
+    files = from_files.select("_quillspan_file").distinct()
+    files = stored(files.select("_quillspan_file", (F.row_number().over(Window.orderBy("_quillspan_file")) - 1).cast("long").alias("_quillspan_no")))
+    if files.count() <= FEW_FILES:
+        files = F.broadcast(files)
+    both = from_files.join(files, "_quillspan_file").withColumn(name, F.col("_quillspan_no") * F.lit(1 << 36) + F.col("_quillspan_index"))
+    return both.drop("_quillspan_file", "_quillspan_no", "_quillspan_index")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

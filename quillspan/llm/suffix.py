@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, CHUNKS, Chunk, answers, bucket_rows, buckets, buckets_schema, chunked, covered, each_answered, each_chunk, exchange, from_planes, keys_of_documents, mix, planes, powers, several_documents, sliding_min, stored, window_ok, windows
+from .common import _BYTE, CHUNKS, Chunk, answers, bucket_rows, buckets, buckets_schema, chunked, covered, each_answered, each_chunk, exchange, from_planes, keys_of_documents, planes, several_documents, sliding_min, stored, window_ok, windows
 
 WINDOW, GRAM, WIDTH = 50, 20, 6
 #: One gram in so many, about, is a place where segments are cut.
 CUT = 256
 CHUNK = 1 << 20
-_BASES = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
 
 
 class Windows:
@@ -91,16 +90,11 @@ def _segments(w: Windows, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return cand, first, size
 
 
-def _hash(b: np.ndarray, offsets: np.ndarray, base: int) -> np.ndarray:
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(b * powers(base, len(b)), out=run[1:])
-    return mix((run[offsets[1:]] - run[offsets[:-1]]) * powers(base, len(b) + 1, True)[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
-
-
 def _distinct(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments of a chunk: hash of each, further bits of each, and the one to send for each distinct hash."""
-    b = _BYTE[c.data]
-    h, check = _hash(b, c.offsets, _BASES[0]), (_hash(b, c.offsets, _BASES[1]) >> np.uint64(32)).astype(np.uint32)
+    raw, at = c.data.tobytes(), c.offsets.tolist()
+    digest = np.frombuffer(b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(at[:-1], at[1:])), "<u8").reshape(-1, 2)
+    h, check = digest[:, 0].copy(), (digest[:, 1] >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((c.order, h))
     return h, check, order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(h) else order
 

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, stored
+from .common import numbered, partitions, scratch, stored
 
 #: An archive is closed at the first record beyond so many bytes.
 FILE_BYTES = 8 << 20
@@ -144,8 +144,9 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
 
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes gzip archives into the shared folder; gives the manifest: path, n_records, n_bytes."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.length("payload")).withColumn("row", F.monotonically_increasing_id())
+    rows = numbered(pages, "_quillspan_row")
+    rows = rows.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"), F.col("_quillspan_row").alias("row"))
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.length("payload"))
     first = rows.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.max(F.struct("page_id", "row")).alias("first"))
     rows = rows.join(first, ["sha", "n"], "left").withColumn("of", F.when(F.col("first.row") != F.col("row"), F.col("first.page_id")))
     root = scratch(pages.sparkSession) + "/warc"
