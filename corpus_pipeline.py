@@ -12,16 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, jaccard, mixing, token_store, toxicity
-from quillspan.llm.common import dropped, read, stored
+from quillspan.llm.common import dropped, numbered, read, stored
 from quillspan.llm.queries import tokenizer_path
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    """Documents with a number for each row, so that rows that repeat an id stay apart.
-
-    docs is a table read from files, whose splits, and so these numbers, are the same at each reading.
-    """
-    return docs.withColumn("_quillspan_row", F.monotonically_increasing_id())
+    """Documents with a number for each row, so that rows that repeat an id stay apart; the same at each reading."""
+    return numbered(docs, "_quillspan_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +40,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule leaves."""
-    rows = _tagged(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    rows = _tagged(docs)
     found = decontaminate.contamination(rows, read(spark, sf_dir, "benchmark"), keep=("_quillspan_row",))
     bad = found.filter("contaminated").select("_quillspan_row")
     return rows.join(bad, "_quillspan_row", "left_anti").select(*map(_name, docs.columns))
