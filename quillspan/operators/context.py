@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from quillspan.functions.text import SPACE
 
 from .rules import _B
 from .spans import spans
-from .tokens import known, token_at, tokenize
+from .tokens import known, tokenize
 
 # Word lists that decide what a word near a name means.
 CIVILITIES = ["m", "mr", "mme", "mlle", "madame", "monsieur", "mademoiselle", "dr", "docteur", "me", "maitre", "pr", "professeur", "mrs", "ms", "miss", "mister", "sir"]
@@ -122,16 +126,39 @@ def mixed_codes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def context_tokens(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens with list flags, name_like (C9), and the neighbours on both sides as arrays."""
-    t = known(tokenize(docs, id_col, text), words)
+    """id, all: the tokens of each document in order, with list flags and name_like."""
+    t = known(tokenize(docs, id_col, text), words, id_col)
     t = t.withColumn("acronym", F.col("key").isin(ACRONYMS)).withColumn("particle", F.col("key").isin(PARTICLES) & ~F.col("capitalized"))
     named = ~F.col("common") | ((F.col("is_surname") | F.col("is_first")) & (F.col("all_caps") | ~F.col("sentence_start")))
     t = t.withColumn("name_like", F.col("capitalized") & (F.length("key") >= 2) & ~F.col("acronym") & named)
-    t = t.withColumn("_own", F.struct("key", "start", "end", "gap", "blank_gap", "capitalized", "sentence_start", "name_like", "particle"))
-    w = W.partitionBy(id_col).orderBy("pos")
-    # the name after a form of address begins one word on, and a particle looks one word further
-    ahead, behind = F.array(*(F.lead("_own", j).over(w) for j in range(1, REACH + 3))), F.array(*(F.lag("_own", j).over(w) for j in range(1, REACH + 1)))
-    return t.withColumns({"ahead": ahead, "behind": behind}).drop("_own")
+    fields = ("pos", "key", "start", "end", "gap", "blank_gap", "capitalized", "all_caps", "sentence_start", "name_like", "particle", "acronym", "common", "is_first", "is_place")
+    return t.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
+
+
+
+def around(tokens: DataFrame, centres: dict[str, Callable[[Column, Column], Column]], id_col: str = "doc_id", *more: str) -> DataFrame:
+    """The tokens at which any of the conditions holds: id, the token's fields, a flag for each condition, and the words
+    ahead and behind.
+
+    A condition sees the token and the one before it (null for the first).  Only the neighbourhoods of these tokens are
+    ever built, as slices of the document's array.
+    """
+
+    def place(x: Column, i: Column) -> Column:
+        before = F.get("all", i - 1)
+        flags = [F.coalesce(c(x, before), F.lit(False)).alias(n) for n, c in centres.items()]
+        return F.struct(i.alias("i"), *flags)
+
+    hits = F.filter(F.transform("all", place), lambda h: reduce(or_, (h[n] for n in centres)))
+
+    def build(h: Column) -> Column:
+        i = h["i"]
+        # the name after a form of address begins one word on, and a particle looks one word further
+        ahead, behind = F.slice("all", i + 2, F.lit(REACH + 2)), F.reverse(F.slice("all", F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH))))
+        return F.struct(F.get("all", i).alias("own"), ahead.alias("ahead"), behind.alias("behind"), *(h[n].alias(n) for n in centres))
+
+    rows = tokens.select(id_col, *more, F.explode(F.transform(hits, build)).alias("h"))
+    return rows.select(id_col, *more, "h.own.*", "h.ahead", "h.behind", *(F.col(f"h.{n}") for n in centres))
 
 
 def _next(i: int = 0) -> Column:
@@ -163,65 +190,120 @@ def extend_back(behind: Column, gap_here: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(REACH)), F.struct(F.lit(0).alias("last"), F.lit(True).alias("go")), step)["last"]
 
 
-def civility_people(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The name after a form of address, which stays visible itself."""
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def _civility(x: Column, before: Column) -> Column:
+    return x["capitalized"] & x["key"].isin(CIVILITIES)
+
+
+def _civility_span() -> Column:
     n = _next()
-    rows = tokens.filter(F.col("capitalized") & F.col("key").isin(CIVILITIES) & n["gap"].rlike(f"^\\.?{_BLANK}+\\z") & n["capitalized"] & (F.length(n["key"]) >= 2))
-    last = extend(F.col("ahead"), 1)
-    rows = rows.select(id_col, n["start"].alias("start"), F.get("ahead", last)["end"].alias("end"))
-    return _candidates(rows, "PERSONNE", PERSON, "person", docs, id_col, text)
+    named = n["gap"].rlike(f"^\\.?{_BLANK}+\\z") & n["capitalized"] & (F.length(n["key"]) >= 2)
+    return F.when(named, _span(n["start"], F.get("ahead", extend(F.col("ahead"), 1))["end"]))
 
 
-def first_name_people(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A known first name and the name-like words around it."""
+def _first_name(x: Column, before: Column) -> Column:
+    return x["capitalized"] & x["is_first"] & (F.length(x["key"]) >= 3) & ~x["key"].isin(CIVILITIES + PARTICLES + FUNCTION_WORDS) & ~x["acronym"]
+
+
+def _first_name_span() -> Column:
     n = _next()
     followed = F.coalesce(n["blank_gap"] & n["name_like"], F.lit(False))
-    rows = tokens.filter(F.col("capitalized") & F.col("is_first") & (F.length("key") >= 3) & ~F.col("key").isin(CIVILITIES + PARTICLES + FUNCTION_WORDS) & ~F.col("acronym"))
-    rows = rows.filter(~(F.col("common") & F.col("sentence_start") & ~F.col("all_caps") & ~followed))
+    doubtful = F.col("common") & F.col("sentence_start") & ~F.col("all_caps") & ~followed
     on, back = extend(F.col("ahead")), extend_back(F.col("behind"), F.col("blank_gap"))
     start, end = F.when(back > 0, F.get("behind", back - 1)["start"]).otherwise(F.col("start")), F.when(on > 0, F.get("ahead", on - 1)["end"]).otherwise(F.col("end"))
-    return _candidates(rows.select(id_col, start.alias("start"), end.alias("end")), "PERSONNE", PERSON, "person", docs, id_col, text)
+    return F.when(~doubtful, _span(start, end))
 
 
-def _after(docs: DataFrame, tokens: DataFrame, pattern: str, id_col: str, text: str) -> DataFrame:
-    """The capitalized token that starts right where each match of the pattern ends."""
-    ends = docs.select(id_col, F.explode(spans(F.col(text), pattern)).alias("s")).select(id_col, F.col("s.end").alias("start")).distinct()
-    return token_at(tokens, ends, id_col).filter("capitalized")
+def _after(array: str) -> Callable[[Column, Column], Column]:
+    """The capitalized token that starts right where one of the document's labels ends."""
+    return lambda x, before: x["capitalized"] & F.array_contains(F.col(array), x["start"])
 
 
-def labelled_people(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Whatever name stands after a label such as "Nom :"."""
-    rows = _after(docs, tokens, NAME_LABEL, id_col, text)
+def _chain(step: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+    """How many words on something reaches; step gives for a word, the next and its number: may it end here, does it go on."""
 
-    def step(a: Column, j: Column) -> Column:
-        t = F.get("ahead", j - 1)
+    def walk(a: Column, j: Column) -> Column:
+        t, n = F.get("ahead", j - 1), F.get("ahead", j)
         joined = F.coalesce(a["go"] & t["blank_gap"], F.lit(False))
-        return F.struct(F.when(joined & t["capitalized"], j).otherwise(a["last"]).alias("last"), F.coalesce(joined & (t["capitalized"] | t["key"].isin(PARTICLES)), F.lit(False)).alias("go"))
+        ends, goes = step(t, n, j)
+        return F.struct(F.when(joined & ends, j).otherwise(a["last"]).alias("last"), F.coalesce(joined & goes, F.lit(False)).alias("go"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(REACH)), F.struct(F.lit(0).alias("last"), F.lit(True).alias("go")), walk)["last"]
+
+
+def _label_span() -> Column:
+    on = _chain(lambda t, n, j: (t["capitalized"], t["capitalized"] | t["key"].isin(PARTICLES)))
+    return _span(F.col("start"), F.when(on > 0, F.get("ahead", on - 1)["end"]).otherwise(F.col("end")))
+
+
+def _place_span() -> Column:
+    """Capitalized words and connectors (what stands in a bracket behind is added later)."""
+    link = lambda t, n: ~t["capitalized"] & t["key"].isin(CONNECTORS) & F.coalesce(n["capitalized"] & n["blank_gap"], F.lit(False))
+    on = _chain(lambda t, n, j: (t["capitalized"], t["capitalized"] | link(t, n)))
+    return _span(F.col("start"), F.when(on > 0, F.get("ahead", on - 1)["end"]).otherwise(F.col("end")))
+
+
+def _known_place(x: Column, before: Column) -> Column:
+    after = ~before["capitalized"] & before["key"].isin(PREPOSITIONS) & (~x["common"] | ~before["key"].isin("de", "d")) & x["gap"].rlike("^[ \\t\\u00A0'’]+\\z")
+    clear = ~x["common"] & (~x["sentence_start"] | x["all_caps"])
+    return x["capitalized"] & x["is_place"] & (F.coalesce(after, F.lit(False)) | clear)
+
+
+#: By detector: the words that it starts from, the span there, type, priority, source.
+_DETECTORS = {
+    "civility": (_civility, _civility_span, "PERSONNE", PERSON, "person"),
+    "first": (_first_name, _first_name_span, "PERSONNE", PERSON, "person"),
+    "label": (_after("label_ends"), _label_span, "PERSONNE", PERSON, "person_label"),
+    "formula": (_after("formula_ends"), _place_span, "LIEU", PLACE, "place_formula"),
+    "place": (_known_place, _place_span, "LIEU", PLACE, "place"),
+}
+_ENDS = {"label": ("label_ends", NAME_LABEL), "formula": ("formula_ends", PLACE_FORMULA)}
+
+
+def by_words(tokens: DataFrame, docs: DataFrame, names: Sequence[str] = tuple(_DETECTORS), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Candidates of some of the detectors: one pass over the words of each document, and one look at its text for
+    labels, brackets and values."""
+    ends = {column: pattern for n, (column, pattern) in _ENDS.items() if n in names}
+    t = tokens
+    if ends:
+        marks = docs.select(id_col, *(F.transform(spans(F.col(text), p), lambda s: s["end"]).alias(c) for c, p in ends.items()))
+        t = tokens.join(marks, id_col)
+    rows = around(t, {n: _DETECTORS[n][0] for n in names}, id_col, *ends)
+    each = [F.when(F.col(n), F.struct(F.lit(kind).alias("type"), span()["start"].alias("start"), span()["end"].alias("end"), F.lit(priority).alias("priority"), F.lit(AFTER_RULES[source]).alias("source"))) for n in names for _, span, kind, priority, source in [_DETECTORS[n]]]
+    found = rows.select(id_col, F.explode(F.array_compact(F.array(*each))).alias("c")).select(id_col, "c.*").filter("start is not null").distinct()
+    found = found.join(docs.select(id_col, F.col(text).alias("_t")), id_col)
+    bracket = F.when(F.col("type") == "LIEU", F.length(F.regexp_extract(F.substr("_t", F.col("end") + 1, F.lit(48)), PARENTHESIS, 0))).otherwise(0)
+    found = found.withColumn("end", F.col("end") + bracket)
+    value = F.substr("_t", F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.select(id_col, "type", "start", "end", value.alias("value"), "priority", "source")
 
-    on = F.aggregate(F.sequence(F.lit(1), F.lit(REACH)), F.struct(F.lit(0).alias("last"), F.lit(True).alias("go")), step)["last"]
-    rows = rows.select(id_col, "start", F.when(on > 0, F.get("ahead", on - 1)["end"]).otherwise(F.col("end")).alias("end"))
-    return _candidates(rows, "PERSONNE", PERSON, "person_label", docs, id_col, text)
 
+def civility_people(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The name after a form of address, which stays visible itself."""
+    return by_words(tokens, docs, ["civility"], id_col, text)
 
-def read_place(rows: DataFrame, docs: DataFrame, source: str, id_col: str, text: str) -> DataFrame:
-    """Capitalized words and connectors, then a short bracket."""
 
-    def step(a: Column, j: Column) -> Column:
-        t, n = F.get("ahead", j - 1), F.get("ahead", j)
-        joined = F.coalesce(a["go"] & t["blank_gap"], F.lit(False))
-        link = ~t["capitalized"] & t["key"].isin(CONNECTORS) & F.coalesce(n["capitalized"] & n["blank_gap"], F.lit(False))
-        return F.struct(F.when(joined & t["capitalized"], j).otherwise(a["last"]).alias("last"), F.coalesce(joined & (t["capitalized"] | link), F.lit(False)).alias("go"))
+def first_name_people(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A known first name and the name-like words around it."""
+    return by_words(tokens, docs, ["first"], id_col, text)
 
-    on = F.aggregate(F.sequence(F.lit(1), F.lit(REACH)), F.struct(F.lit(0).alias("last"), F.lit(True).alias("go")), step)["last"]
-    ends = rows.select(id_col, "start", F.when(on > 0, F.get("ahead", on - 1)["end"]).otherwise(F.col("end")).alias("end"))
-    both = ends.join(docs.select(id_col, F.col(text).alias("_t")), id_col)
-    bracket = F.length(F.regexp_extract(F.substr("_t", F.col("end") + 1, F.lit(48)), PARENTHESIS, 0))
-    return _candidates(both.select(id_col, "start", (F.col("end") + bracket).alias("end")), "LIEU", PLACE, source, docs, id_col, text)
+
+def labelled_people(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whatever name stands after a label such as "Nom :"."""
+    return by_words(tokens, docs, ["label"], id_col, text)
 
 
 def formula_places(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """C12"""
-    return read_place(_after(docs, tokens, PLACE_FORMULA, id_col, text), docs, "place_formula", id_col, text)
+    return by_words(tokens, docs, ["formula"], id_col, text)
+
+
+def known_places(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """C14"""
+    return by_words(tokens, docs, ["place"], id_col, text)
 
 
 def datelines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,20 +314,13 @@ def datelines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     return _candidates(hits.select(id_col, start.alias("start"), (start + F.length(name)).alias("end")), "LIEU", PLACE, "dateline", docs, id_col, text)
 
 
-def known_places(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """C14"""
-    p = F.get("behind", F.lit(0))
-    after = ~p["capitalized"] & p["key"].isin(PREPOSITIONS) & (~F.col("common") | ~p["key"].isin("de", "d")) & F.col("gap").rlike("^[ \\t\\u00A0'’]+\\z")
-    clear = ~F.col("common") & (~F.col("sentence_start") | F.col("all_caps"))
-    rows = tokens.filter(F.col("capitalized") & F.col("is_place") & (F.coalesce(after, F.lit(False)) | clear))
-    return read_place(rows, docs, "place", id_col, text)
-
-
 def proper_nouns(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Runs of capitalized words that are neither ordinary words nor acronyms."""
-    w = W.partitionBy(id_col).orderBy("pos")
-    t = tokens.select(id_col, "pos", "start", "end", "blank_gap", (F.col("capitalized") & (F.length("key") >= 2) & ~F.col("acronym") & ~F.col("common")).alias("hit"))
-    t = t.withColumn("run", F.sum(F.when(F.col("hit") & F.col("blank_gap") & F.coalesce(F.lag("hit").over(w), F.lit(False)), 0).otherwise(1)).over(w)).filter("hit")
+    hit = lambda x: x["capitalized"] & (F.length(x["key"]) >= 2) & ~x["acronym"] & ~x["common"]
+    rows = around(tokens, {"hit": lambda x, before: hit(x)}, id_col)
+    before = F.get("behind", F.lit(0))
+    new = F.when(F.col("blank_gap") & F.coalesce(hit(before), F.lit(False)), 0).otherwise(1)
+    t = rows.select(id_col, "pos", "start", "end", new.alias("new")).withColumn("run", F.sum("new").over(W.partitionBy(id_col).orderBy("pos")))
     return _candidates(t.groupBy(id_col, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")), "NOM_PROPRE", PROPER, "proper", docs, id_col, text)
 
 
@@ -258,8 +333,7 @@ def detect(docs: DataFrame, words: DataFrame | None = None, strict: bool = False
         return resolve.greedy(found, id_col)
     t = context_tokens(docs, words, id_col, text)
     more = [labelled_ids(docs, id_col, text)]
-    more += [f(t, docs, id_col, text) for f in (civility_people, first_name_people, labelled_people, formula_places)]
-    more += [datelines(docs, id_col, text), known_places(t, docs, id_col, text)]
+    more += [by_words(t, docs, id_col=id_col, text=text), datelines(docs, id_col, text)]
     if strict:
         more += [f(docs, id_col, text) for f in (long_numbers, grouped_numbers, mixed_codes)] + [proper_nouns(t, docs, id_col, text)]
     for m in more:

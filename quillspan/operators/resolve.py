@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,18 +18,28 @@ def span_id(kind: Column, start: Column, end: Column) -> Column:
 def greedy(candidates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Longest first, then priority, then start; kept if it overlaps nothing kept (touching is no overlap).
 
-    What does not overlap cannot matter, so the choice is made within islands of overlapping candidates.
+    A sweep over each document's candidates in that order.  What is kept is disjoint, so its starts and ends are sorted
+    alike, and the one kept span that a candidate could meet is found by bisection.
     """
-    item = F.struct((F.col("start") - F.col("end")).alias("size"), (-F.col("priority")).alias("rank"), "start", "source", "end", "type", "value")
-    rows = _islands(candidates, id_col, [F.col("start"), F.col("end").desc(), F.col("source"), F.col("priority")])
-    ordered = rows.groupBy(id_col, "island").agg(F.array_sort(F.collect_list(item)).alias("all"))
-
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = F.aggregate("all", F.slice("all", 1, 0), step)
-    out = ordered.select(id_col, F.explode(kept).alias("k")).select(id_col, "k.type", "k.start", "k.end", "k.value")
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, starts, ends, first = None, [], [], True
+        for b in batches:
+            keep = []
+            for key, s, e in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (id_col, "start", "end"))):
+                if first or key != doc:
+                    doc, starts, ends, first = key, [], [], False
+                at = bisect_right(ends, s)
+                free = at == len(starts) or starts[at] >= e
+                keep.append(free)
+                if free:
+                    starts.insert(at, s)
+                    ends.insert(at, e)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rows = candidates.select(id_col, "type", "start", "end", "value", "priority", "source").repartition(id_col)
+    rows = rows.sortWithinPartitions(id_col, F.desc(F.col("end") - F.col("start")), F.desc("priority"), "start", "source", "end", "type", "value")
+    out = rows.mapInArrow(sweep, rows.schema).drop("priority", "source")
     return out.withColumn("id", span_id(F.col("type"), F.col("start"), F.col("end")))
 
 

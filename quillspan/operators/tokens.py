@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import SPACE, all_caps, capitalized, normalize_key
@@ -13,8 +15,6 @@ from .spans import span_rows
 WORD = "\\p{L}(?:\\p{L}|-(?=\\p{L}))*+"
 _SKIP = f"[{SPACE}\"«»“”'(\\[•*·–—-]"
 BLANKS = "^[ \\t\\u00A0]+\\z"
-#: A word list of at most so many entries is sent to all tasks; a larger one is joined by key.
-SENT = 1_000_000
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,14 +26,11 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return rows.select(id_col, "pos", word.alias("word"), normalize_key(word).alias("key"), "start", "end", capitalized(word).alias("capitalized"), all_caps(word).alias("all_caps"), start.alias("sentence_start"), "gap", (F.col("gap").rlike(BLANKS) & ~first).alias("blank_gap"))
 
 
-def token_at(tokens: DataFrame, positions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The token that starts at each position (id, start)."""
-    return positions.join(tokens, [id_col, "start"])
-
-
 def lexicon(spark: SparkSession, lists: dict[str, list[str]]) -> DataFrame:
     """Kind, key from inline lists; kinds are firstNames, surnames, places, territories, words."""
-    rows = spark.createDataFrame([(k, w) for k, ws in lists.items() for w in ws], "kind string, word string")
+    pairs = [(k, w) for k, ws in lists.items() for w in ws]
+    # from an Arrow table, so that the optimizer knows its size
+    rows = spark.createDataFrame(pa.table({"kind": pa.array([k for k, _ in pairs], pa.string()), "word": pa.array([w for _, w in pairs], pa.string())}))
     return rows.select("kind", normalize_key(F.col("word")).alias("key")).distinct()
 
 
@@ -42,17 +39,18 @@ def parse_lexicon(lines: DataFrame) -> DataFrame:
     return lines.select("kind", F.regexp_replace("line", "\\r\\z", "").alias("key")).filter("key != ''").distinct()
 
 
-def known(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds is_first, is_surname, is_place (places and territories), common."""
+def known(tokens: DataFrame, lexicon: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Adds is_first, is_surname, is_place (places and territories), common.
+
+    A word with hyphens is common, too, if all of its parts are.  A word asks for its key and, if it has any, for its
+    parts in one join; whether the list is sent to all tasks or joined by key is up to its size as the optimizer knows it.
+    """
     is_kind = lambda *k: F.max(F.col("kind").isin(*k))
-    entries = lexicon.groupBy("key").agg(is_kind("firstNames").alias("is_first"), is_kind("surnames").alias("is_surname"), is_kind("places", "territories").alias("is_place"), is_kind("words").alias("in_words"))
-    small = entries.limit(SENT + 1).count() <= SENT
-    sent = F.broadcast(entries) if small else entries
-    keys = tokens.select("key").filter(F.instr("key", "-") > 0).distinct()
-    parts = keys.select("key", F.explode(F.split("key", "-")).alias("part"))
-    words = entries.filter("in_words").select(F.col("key").alias("part"), F.lit(True).alias("hit"))
-    whole = parts.join(F.broadcast(words) if small else words, "part", "left").groupBy("key").agg(F.every((F.length("part") < 2) | F.coalesce("hit", F.lit(False))).alias("compound"))
-    out = tokens.join(sent, "key", "left").join(whole, "key", "left")
+    entries = lexicon.groupBy(F.col("key").alias("asked")).agg(is_kind("firstNames").alias("is_first"), is_kind("surnames").alias("is_surname"), is_kind("places", "territories").alias("is_place"), is_kind("words").alias("in_words"))
+    asks = F.when(F.instr("key", "-") > 0, F.concat(F.array("key"), F.split("key", "-"))).otherwise(F.array("key"))
+    rows = tokens.select("*", F.posexplode(asks).alias("_no", "asked")).join(entries, "asked", "left")
+    part = (F.length("asked") < 2) | F.coalesce("in_words", F.lit(False))
+    compound = F.bool_and(F.when(F.col("_no") > 0, part)).over(W.partitionBy(id_col, "pos"))
+    out = rows.withColumn("compound", compound).filter("_no = 0")
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("is_first", "is_surname", "is_place")}
-    return out.withColumns(flags).withColumn("common", F.coalesce("in_words", F.lit(False)) | F.coalesce("compound", F.lit(False))).drop("in_words", "compound")
-
+    return out.withColumns(flags).withColumn("common", F.coalesce("in_words", F.lit(False)) | F.coalesce("compound", F.lit(False))).drop("in_words", "compound", "asked", "_no")
