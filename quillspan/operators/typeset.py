@@ -19,12 +19,13 @@ HEADINGS, BULLETS = [20.0, 16.0, 13.5, 12.0, 11.5, 11.0], ["•", "◦", "▪"]
 BEFORE_HEADING, AFTER = 10.0, {"heading": 4.0, "listItem": 2.0, "paragraph": 6.0}
 
 
-def _broken(text: str, width: int) -> list[str]:
+def _broken(text: str, width: int, by_width: bool) -> list[str]:
     """Greedy lines: each begins where the last ends and takes all parts up to the last that fits, found in the prefix sums."""
     text = text.replace("\t", " ")
-    run, parts, gaps = metric.prefix(text), [], []
+    run, space = (metric.prefix(text), metric.SPACE) if by_width else (np.arange(len(text) + 1), 1)
+    parts, gaps = [], []
     for word in re.finditer("[^ ]+", text):
-        at, end, gap = word.start(), word.end(), metric.SPACE if parts else 0
+        at, end, gap = word.start(), word.end(), space if parts else 0
         while at < end:
             # a word wider than the line is cut where it no longer fits, after one character at least
             cut = end if run[end] - run[at] <= width else min(end, max(at + 1, int(np.searchsorted(run, run[at] + width, "right")) - 1))
@@ -44,13 +45,13 @@ def _broken(text: str, width: int) -> list[str]:
     return out
 
 
-def break_lines(text: Column, width: Column) -> Column:
-    """Greedy lines of at most `width` thousandths of the font size: spaces at a line's ends go, runs of spaces are
-    one, longer words are cut.  Null and blank texts give no line."""
+def break_lines(text: Column, width: Column, by_width: bool = False) -> Column:
+    """Greedy lines of at most `width` characters or, by_width, thousandths of the font size: spaces at a line's ends
+    go, runs of spaces are one, longer words are cut.  Null and blank texts give no line."""
 
     @F.pandas_udf("array<string>")
     def lines(texts: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series([_broken(x or "", int(w)) for x, w in zip(texts, widths)])
+        return pd.Series([_broken(x or "", int(w), by_width) for x, w in zip(texts, widths)])
 
     return lines(text, width)
 

@@ -27,7 +27,11 @@ LINE_WIDTH = int((typeset.PAGE_WIDTH - 2 * typeset.MARGIN) / typeset.BODY * 1000
 
 
 def break_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("doc_id", "block_no", F.posexplode(typeset.break_lines(F.col("line"), F.lit(LINE_WIDTH))).alias("line_no", "line"))
+    return _lines(spark, sf_dir).select("doc_id", "block_no", F.posexplode(typeset.break_lines(F.col("line"), F.lit(90))).alias("line_no", "line"))
+
+
+def break_lines_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "block_no", F.posexplode(typeset.break_lines(F.col("line"), F.lit(LINE_WIDTH), by_width=True)).alias("line_no", "line"))
 
 
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), typeset.marker(F.col("p_size") % 2 == 0, F.col("p_size"), (F.col("p_partkey") % 5).cast("int")).alias("marker"))
 
 
-QUERIES |= {"measure_text": measure_text, "break_lines": break_lines, "paginate": paginate, "table_rows": table_rows, "list_markers": list_markers}
+QUERIES |= {"measure_text": measure_text, "break_lines": break_lines, "break_lines_by_width": break_lines_by_width, "paginate": paginate, "table_rows": table_rows, "list_markers": list_markers}
 SQL["table_rows"] = """SELECT doc_id, row_no, n_columns, round((595.28 - 2 * 56.69) / n_columns, 6) AS column_width, round(height, 6) AS height FROM (SELECT l_orderkey AS doc_id, l_linenumber % 3 AS row_no, greatest(1, max(l_suppkey % 5)) * 13.5 + 8 AS height FROM lineitem GROUP BY ALL)
  JOIN (SELECT l_orderkey AS doc_id, max(l_partkey % 4) + 1 AS n_columns FROM lineitem GROUP BY ALL) USING (doc_id)"""
 SQL["list_markers"] = "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_size || '.' ELSE CASE (p_partkey % 5) % 3 WHEN 0 THEN '•' WHEN 1 THEN '◦' ELSE '▪' END END AS marker FROM part"
@@ -57,18 +61,20 @@ SQL["measure_text"] = f"""SELECT doc_id, CAST(coalesce(w, 0) AS BIGINT) AS width
 
 _BLOCKS = "SELECT doc_id, unnest(range(len(ls))) AS block_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
 #: Words, those wider than a line cut from one jump to the next; then lines, likewise.
-SQL["break_lines"] = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, block_no, unnest(range(len(ws))) AS k, unnest(ws) AS word FROM (SELECT doc_id, block_no, regexp_extract_all(replace(line, chr(9), ' '), '[^ ]+') AS ws FROM ({_BLOCKS}))),
- c AS (SELECT word, i, sum({metric.sql_advance('c')}) OVER (PARTITION BY word ORDER BY i) AS run FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i, unnest(string_split(word, '')) AS c FROM (SELECT DISTINCT word FROM w))),
+_BROKEN = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, block_no, unnest(range(len(ws))) AS k, unnest(ws) AS word FROM (SELECT doc_id, block_no, regexp_extract_all(replace(line, chr(9), ' '), '[^ ]+') AS ws FROM ({_BLOCKS}))),
+ c AS (SELECT word, i, sum($ADVANCE) OVER (PARTITION BY word ORDER BY i) AS run FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i, unnest(string_split(word, '')) AS c FROM (SELECT DISTINCT word FROM w))),
  v AS MATERIALIZED (SELECT word, max(run) AS width FROM c GROUP BY word),
- e AS MATERIALIZED (SELECT word, run, max(i) AS i FROM (SELECT * FROM c UNION ALL SELECT word, 0, 0 FROM v) WHERE word IN (SELECT word FROM v WHERE width > {LINE_WIDTH}) GROUP BY word, run),
- j AS MATERIALIZED (SELECT a.word, a.i, least(length(a.word), greatest(a.i + 1, b.i)) AS n FROM (SELECT word, i, run FROM c UNION ALL SELECT word, 0, 0 FROM v) a ASOF JOIN e b ON a.word = b.word AND a.run + {LINE_WIDTH} >= b.run),
+ e AS MATERIALIZED (SELECT word, run, max(i) AS i FROM (SELECT * FROM c UNION ALL SELECT word, 0, 0 FROM v) WHERE word IN (SELECT word FROM v WHERE width > $WIDTH) GROUP BY word, run),
+ j AS MATERIALIZED (SELECT a.word, a.i, least(length(a.word), greatest(a.i + 1, b.i)) AS n FROM (SELECT word, i, run FROM c UNION ALL SELECT word, 0, 0 FROM v) a ASOF JOIN e b ON a.word = b.word AND a.run + $WIDTH >= b.run),
  q(word, seq, i, n) AS (SELECT word, 0, i, n FROM j WHERE i = 0 UNION ALL SELECT q.word, q.seq + 1, j.i, j.n FROM q JOIN j ON q.word = j.word AND q.n = j.i AND j.i < length(j.word)),
- x AS (SELECT word, seq, substr(word, CAST(i + 1 AS BIGINT), CAST(n - i AS BIGINT)) AS part, (SELECT run FROM c WHERE c.word = q.word AND c.i = q.n) - coalesce((SELECT run FROM c WHERE c.word = q.word AND c.i = q.i), 0) AS width FROM q UNION ALL SELECT word, 0, word, width FROM v WHERE width <= {LINE_WIDTH}),
- p AS (SELECT doc_id, block_no, row_number() OVER o - 1 AS i, part, k > 0 AND seq = 0 AS gap, width, sum(width + CASE WHEN k > 0 AND seq = 0 THEN {metric.SPACE} ELSE 0 END) OVER o AS y FROM w JOIN x USING (word) WINDOW o AS (PARTITION BY doc_id, block_no ORDER BY k, seq)),
+ x AS (SELECT word, seq, substr(word, CAST(i + 1 AS BIGINT), CAST(n - i AS BIGINT)) AS part, (SELECT run FROM c WHERE c.word = q.word AND c.i = q.n) - coalesce((SELECT run FROM c WHERE c.word = q.word AND c.i = q.i), 0) AS width FROM q UNION ALL SELECT word, 0, word, width FROM v WHERE width <= $WIDTH),
+ p AS (SELECT doc_id, block_no, row_number() OVER o - 1 AS i, part, k > 0 AND seq = 0 AS gap, width, sum(width + CASE WHEN k > 0 AND seq = 0 THEN $SPACE ELSE 0 END) OVER o AS y FROM w JOIN x USING (word) WINDOW o AS (PARTITION BY doc_id, block_no ORDER BY k, seq)),
  m AS MATERIALIZED (SELECT *, y - width AS x FROM p),
- s AS MATERIALIZED (SELECT a.doc_id, a.block_no, a.i, greatest(a.i, coalesce(b.i, a.i)) + 1 AS n FROM m a ASOF LEFT JOIN (SELECT doc_id, block_no, y, max(i) AS i FROM m GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.block_no = b.block_no AND a.x + {LINE_WIDTH} >= b.y),
+ s AS MATERIALIZED (SELECT a.doc_id, a.block_no, a.i, greatest(a.i, coalesce(b.i, a.i)) + 1 AS n FROM m a ASOF LEFT JOIN (SELECT doc_id, block_no, y, max(i) AS i FROM m GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.block_no = b.block_no AND a.x + $WIDTH >= b.y),
  r(doc_id, block_no, i, n, line_no) AS (SELECT doc_id, block_no, i, n, 0 FROM s WHERE i = 0 UNION ALL SELECT s.doc_id, s.block_no, s.i, s.n, line_no + 1 FROM r JOIN s ON r.doc_id = s.doc_id AND r.block_no = s.block_no AND r.n = s.i)
  SELECT m.doc_id, CAST(m.block_no AS INT) AS block_no, CAST(line_no AS INT) AS line_no, string_agg(CASE WHEN gap AND m.i > r.i THEN ' ' ELSE '' END || part, '' ORDER BY m.i) AS line FROM m ASOF JOIN r ON m.doc_id = r.doc_id AND m.block_no = r.block_no AND m.i >= r.i GROUP BY m.doc_id, m.block_no, line_no"""
+SQL["break_lines"] = _BROKEN.replace("$ADVANCE", "1").replace("$WIDTH", "90").replace("$SPACE", "1")
+SQL["break_lines_by_width"] = _BROKEN.replace("$ADVANCE", metric.sql_advance("c")).replace("$WIDTH", str(LINE_WIDTH)).replace("$SPACE", str(metric.SPACE))
 
 _SIZE = "CASE WHEN block_no % 7 = 0 THEN [20000, 16000, 13500][block_no % 3 + 1] ELSE 11000 END"
 #: Line by line: the page and the place after each; a heading asks for room before its first line.

@@ -61,7 +61,7 @@ def test_lines(spark, seed):
     word = lambda: "".join(r.choices("iIlWmé日á.", k=r.choice([1, 2, 3, 5, 8, 40])))
     texts = ["".join(r.choices([word(), word(), " ", "  ", "\t"], k=r.randrange(0, 30))) for _ in range(150)] + [" ".join(word() for _ in range(60)) for _ in range(30)]
     rows = [(i, x, r.choice([1, 600, 2500, 9000, 40000])) for i, x in enumerate([*texts, None, "", "   ", "W" * 500])]
-    df = spark.createDataFrame(rows, "id int, text string, width int").withColumn("l", typeset.break_lines(F.col("text"), F.col("width")))
+    df = spark.createDataFrame(rows, "id int, text string, width int").withColumn("l", typeset.break_lines(F.col("text"), F.col("width"), by_width=True))
     assert {x.id: list(x.l) for x in df.collect()} == {i: plain_lines(x or "", w) for i, x, w in rows}
 
 
