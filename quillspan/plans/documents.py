@@ -81,10 +81,15 @@ def xml_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "encoded", X.decode_xml(F.col("encoded")).alias("decoded"))
 
 
-@query("html_entities", "SELECT p_partkey AS id, 'é< &nope; &lt; ' || chr(160) || ' 😀 \"' || p_partkey AS text FROM part")
+_NAMED = "replace(replace(replace(replace(html, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("html_entities", f"SELECT page_id AS id, {_NAMED} AS text, 'é< &nope; &lt; ' || chr(160) || ' 😀 \"' || page_id AS numbered FROM pages")
 def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("&#233;&LT; &nope; &amp;lt; &nbsp; &#x1F600; &quot;"), F.col("p_partkey").cast("string"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), X.decode_html(raw).alias("text"))
+    """The pages decoded as they are, and a line of references by name and number."""
+    numbered = F.concat(F.lit("&#233;&LT; &nope; &amp;lt; &nbsp; &#x1F600; &quot;"), F.col("page_id").cast("string"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select(F.col("page_id").alias("id"), X.decode_html(F.col("html")).alias("text"), X.decode_html(numbered).alias("numbered"))
 
 
 # ---------------------------------------------------------------- page sets
@@ -315,12 +320,57 @@ def html_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles(p).select("doc_id", "pos", "token", "bold", "italic")
 
 
-@query("html_blocks")
-def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _html_machine() -> str:
+    """SQL that reads the tokens of a page one by one and keeps what is open: the text being collected, lists and a table."""
+    inl = "STRUCT(kind VARCHAR, text VARCHAR, bold BOOLEAN, italic BOOLEAN)[]"
+    one = lambda kind, text, b="false", i="false": f"struct_pack(kind := '{kind}', text := {text}, bold := {b}, italic := {i})"
+    entities = {"lt": "'<'", "gt": "'>'", "quot": "chr(34)", "apos": "chr(39)", "nbsp": "chr(160)", "amp": "'&'"}
+    text = "v"
+    for name, char in entities.items():
+        text = f"regexp_replace({text}, '&{name};', {char}, 'gi')"
+    image = "'(?i)src=\"data:image/(png|jpeg|jpg);base64,([^\"]+)\"'"
+    tokens = f"""SELECT doc_id, i, v, v NOT LIKE '</%' AS o, CASE WHEN v[1] = '<' THEN lower(regexp_extract(v, '^</?([a-zA-Z0-9]+)', 1)) ELSE '' END AS t, {text} AS txt,
+ lower(regexp_extract(v, {image}, 1)) AS img, regexp_extract(v, {image}, 2) AS data FROM ({spans_sql('SELECT page_id AS doc_id, html AS text FROM pages', _TAG)})"""
+    boxed, titled = "(cell IS NOT NULL OR lists[-1].item IS NOT NULL)", "regexp_full_match(t, 'p|h[1-6]')"
+    add = f"""CASE WHEN t = '' THEN {one('text', 'txt', 'b > 0', 'it > 0')} WHEN t = 'br' THEN {one('break', 'chr(10)')} WHEN t = 'img' AND img <> '' THEN struct_pack(kind := CASE WHEN img = 'png' THEN 'png' ELSE 'jpg' END, text := data, bold := false, italic := false)
+ WHEN {titled} AND o AND {boxed} AND len(coalesce(cell, lists[-1].item)) > 0 THEN {one('break', 'chr(10)')} END"""
+    held = lambda ordered, n, item: f"[struct_pack(ordered := {ordered}, n := {n}, item := {item})]"
+    block = lambda kind, level, inlines, ordered="NULL", number="NULL": f"struct_pack(kind := {kind}, level := CAST({level} AS INT), ordered := CAST({ordered} AS BOOLEAN), number := CAST({number} AS INT), inlines := {inlines})"
+    flush = "lists[-1].ordered, lists[-1].n"
+    step = f"""SELECT doc_id, i,
+ CASE WHEN t IN ('strong', 'b') OR t = 'th' AND row_ IS NOT NULL AND (o OR cell IS NOT NULL) THEN b + CASE WHEN o THEN 1 ELSE -1 END ELSE b END AS b,
+ CASE WHEN t IN ('em', 'i') THEN it + CASE WHEN o THEN 1 ELSE -1 END ELSE it END AS it,
+ CASE WHEN {titled} AND NOT {boxed} THEN CASE WHEN o THEN CAST([] AS {inl}) END WHEN added IS NOT NULL AND NOT {boxed} AND buf IS NOT NULL THEN list_append(buf, added) ELSE buf END AS buf,
+ CASE WHEN {titled} AND NOT {boxed} THEN CASE WHEN o THEN t END ELSE tag END AS tag,
+ CASE WHEN t IN ('ul', 'ol') AND o THEN list_concat(CASE WHEN len(lists) > 0 THEN list_concat(lists[:-2], {held('lists[-1].ordered', 'lists[-1].n', f'CAST(NULL AS {inl})')}) ELSE lists END, {held("t = 'ol'", '0', f'CAST(NULL AS {inl})')})
+ WHEN t IN ('ul', 'ol') THEN lists[:-2] WHEN len(lists) = 0 THEN lists
+ WHEN t = 'li' THEN list_concat(lists[:-2], {held('lists[-1].ordered', 'lists[-1].n + CASE WHEN o THEN 1 ELSE 0 END', f'CASE WHEN o THEN CAST([] AS {inl}) END')})
+ WHEN added IS NOT NULL AND cell IS NULL AND lists[-1].item IS NOT NULL THEN list_concat(lists[:-2], {held('lists[-1].ordered', 'lists[-1].n', 'list_append(lists[-1].item, added)')}) ELSE lists END AS lists,
+ CASE WHEN t = 'table' THEN CASE WHEN o THEN 0 END WHEN t = 'tr' AND NOT o AND row_ IS NOT NULL THEN rows_ + 1 ELSE rows_ END AS rows_,
+ CASE WHEN t = 'table' THEN CASE WHEN o THEN CAST([] AS {inl}) END WHEN t = 'tr' AND NOT o AND row_ IS NOT NULL THEN list_append(list_concat(tab, row_), {one('row', 'chr(10)')}) ELSE tab END AS tab,
+ CASE WHEN t = 'table' THEN NULL WHEN t = 'tr' AND rows_ IS NOT NULL THEN CASE WHEN o THEN CAST([] AS {inl}) END WHEN t IN ('td', 'th') AND NOT o AND row_ IS NOT NULL AND cell IS NOT NULL THEN list_append(list_concat(row_, cell), {one('cell', 'chr(9)')}) ELSE row_ END AS row_,
+ CASE WHEN t = 'table' THEN NULL WHEN t IN ('td', 'th') AND row_ IS NOT NULL THEN CASE WHEN o THEN CAST([] AS {inl}) END WHEN added IS NOT NULL AND cell IS NOT NULL THEN list_append(cell, added) ELSE cell END AS cell,
+ CASE WHEN {titled} AND NOT o AND NOT {boxed} AND len(buf) > 0 THEN {block("CASE WHEN tag = 'p' THEN 'paragraph' ELSE 'heading' END", "CASE WHEN tag = 'p' THEN '0' ELSE tag[2] END", 'buf')}
+ WHEN (t IN ('ul', 'ol') OR t = 'li' AND NOT o) AND len(lists[-1].item) > 0 THEN {block("'listItem'", 'len(lists) - 1', 'lists[-1].item', *flush.split(', '))}
+ WHEN t = 'table' AND NOT o AND rows_ > 0 THEN {block("'table'", 'rows_', 'tab')} END AS done
+ FROM (SELECT w.* EXCLUDE (i, done), k.i, k.t, k.o, {add} AS added FROM walk w JOIN tok k ON k.doc_id = w.doc_id AND k.i = w.i + 1)"""
+    start = f"SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, 0 AS b, 0 AS it, CAST(NULL AS {inl}) AS buf, CAST(NULL AS VARCHAR) AS tag, CAST([] AS STRUCT(ordered BOOLEAN, n INTEGER, item {inl})[]) AS lists, CAST(NULL AS INT) AS rows_, CAST(NULL AS {inl}) AS tab, CAST(NULL AS {inl}) AS row_, CAST(NULL AS {inl}) AS cell, CAST(NULL AS STRUCT(kind VARCHAR, level INT, ordered BOOLEAN, number INT, inlines {inl})) AS done FROM tok"
+    shown = "array_to_string(list_transform(done.inlines, lambda x: x.kind || CASE WHEN x.bold THEN '*' ELSE '' END || CASE WHEN x.italic THEN '/' ELSE '' END || ':' || x.text), '|')"
+    return f"""WITH RECURSIVE tok AS MATERIALIZED ({tokens}), walk AS ({start} UNION ALL {step})
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS block_no, done.kind AS kind, done.level AS level, done.ordered AS ordered, done.number AS number, {shown} AS inlines FROM walk WHERE done IS NOT NULL"""
+
+
+def rendered_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks with their inlines as one string: kind, marks of style and text of each."""
     from quillspan.operators.html import blocks
 
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return blocks(p)
+    one = lambda x: F.concat(x["kind"], F.when(x["bold"], "*").otherwise(""), F.when(x["italic"], "/").otherwise(""), F.lit(":"), x["text"])
+    return blocks(docs).withColumn("inlines", F.array_join(F.transform("inlines", one), "|"))
+
+
+@query("html_blocks", _html_machine())
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
 def _part_sql(text: str) -> str:
