@@ -41,6 +41,10 @@ LETTERS = f"""SELECT {_O} AS doc_id, {pick(_O, CITY)} || ', le ' || CAST({_O} %
  || {pick(_O, ["N° ", "Matricule ", "Dossier client : ", "Réf. ", "Facture n°"])} || {pick(_O, ["AB", "", "CLI 00", "x"])} || CAST({_O} AS STRING) || {pick(_O, [" C", "-7", " fin", ""])} || ' total ' || CAST({_O} * 13 AS STRING) || {pick(_O, [" €", "", " eur", "a"])}
  || ' puis ' || {digits(f"{_O} % 100", 2)} || ' ' || {digits(f"({_O} * 7) % 1000", 3)} || ' ' || {digits(f"({_O} * 11) % 1000", 3)} || ' ' || {pick(_O, ["K9-AX", "AAAA1", "b2C"])} || CAST({_O} % 97 AS STRING) || ' – Rose Vaubrun Quinault' AS text FROM orders"""
 
+#: thread, seq, text: a customer's orders as messages that name some things again and again.
+MESSAGES = f"""SELECT o_custkey AS thread, {_O} AS seq, 'Du ' || substr(CAST(o_orderdate AS STRING), 1, 10) || ' : a Client' || CAST({_O} % 4 AS STRING) || '@Mail.example.fr ou au ' || {pick(_O, ["06 12 34 56 ", "0612.34.56.", "+33 6 12 34 56 ", "x "])} || {digits(f"{_O} % 20", 2)}
+ || ', poste 10.0.0.' || CAST({_O} % 9 AS STRING) || {pick(_O, [" (www.site", " – WWW.site", " et é"])} || CAST(o_custkey % 3 AS STRING) || '.fr/a), client' || CAST(({_O} + 1) % 4 AS STRING) || '@mail.example.fr' || {pick(_O, [".", "", " et 192.168.1.1"])} AS text FROM orders"""
+
 #: doc_id, page, item, str, left_, top_, width, height, has_eol, horizontal: lines of orders as text items of pages.
 ITEMS = f"""SELECT l_orderkey AS doc_id, CAST(l_linenumber % 3 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS item, l_returnflag || ' item ' || CAST(l_partkey AS STRING) AS str,
  CAST(l_linenumber * 10 AS DOUBLE) AS left_, CAST((l_linenumber * 7) % 40 AS DOUBLE) AS top_, CAST(l_partkey % 90 + 10 AS DOUBLE) AS width, CAST(8 + l_linenumber % 3 * 2 AS DOUBLE) AS height,
