@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspan.functions.text import label_key
 from quillspan.operators.rules import RULES, Rule, rule_spans
+from quillspan.sources import scratch
 
 _MERGED = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _STATE = "types array<string>, keys array<string>"
@@ -124,7 +125,8 @@ def _stream(rows: DataFrame) -> DataFrame:
 def redact_threads(messages: DataFrame, rules: list[Rule] = RULES, thread: str = "thread", seq: str = "seq", text: str = "text") -> DataFrame:
     """thread, seq, redacted, labels of each message."""
     rows = found_spans(messages, rules, thread, seq, text)
-    return _stream(rows) if messages.isStreaming else _whole(rows)
+    # a table's spans are read three times (values, uses, texts): the rules run once, into a table of their own
+    return _stream(rows) if messages.isStreaming else _whole(scratch.written(rows))
 
 
 def redact_stream(messages: DataFrame, path: str, checkpoint: str, **options) -> None:  # noqa: ANN003
