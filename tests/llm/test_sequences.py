@@ -135,6 +135,21 @@ def test_substrings(spark, table):
     assert substring.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_factors_are_compared_with_their_references(spark, monkeypatch):
+    """A hash that only knows the length of a word proposes wrong factors; none of them is believed."""
+    monkeypatch.setattr(substring, "COMPARED", 2)
+    docs = real(spark).limit(60).union(real(spark).limit(3).selectExpr("doc_id + 1000000", "concat('one more ', text)", *real(spark).columns[2:]))
+    data = [(r.doc_id, WORD.findall(r.text or "")) for r in docs.collect()]
+    want = [(i, sum(g)) for i, _, g in removed(data, 50, tuple)]
+    lengths = lambda data, starts, ends: (ends - starts).astype("u8")
+    assert rows(substring.deduplicate(docs, word_hash=lengths), "doc_id", "n_removed") == sorted(want, key=repr)
+    short = spark.createDataFrame([(1, "ab " * 60), (2, "cd " * 60), (3, "x " + "cd " * 50)], "doc_id long, text string")
+    assert rows(substring.deduplicate(short, word_hash=lengths), "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 50)]
+    store = substring.chunked(short)
+    assert substring._differing(store, substring._parsed(store, 50, lengths)) > 0
+    assert substring._differing(store, substring._parsed(store, 50, substring.plain_hash)) == 0
+
+
 @pytest.mark.parametrize("table", [documents, real])
 def test_suffixes(spark, table):
     docs = table(spark)
