@@ -15,7 +15,8 @@ from .spans import spans
 # ASCII word borders: Java's \b minds Unicode letters, the grammar does not.
 _B = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
-# The grammars. Repeats are bounded where an unbounded one could exhaust Java's stack.
+# The grammars. Repeats are possessive, or bounded where that would match otherwise, as plain ones could
+# exhaust Java's stack.
 _NUMBER = _B + "\\d{1,4}(?: ?(?:bis|ter|BIS|TER))?,? "
 _STREET = "(?:[Rr]ue|[Aa]venue|[Aa]v\\.|[Bb]oulevard|[Bb]d|[Pp]lace|[Cc]hemin|[Aa]ll[ée]e|[Ii]mpasse|[Rr]oute|[Qq]uai|[Cc]ours|[Ss]quare)"
 _STREET_CAPS = "(?:RUE|AVENUE|AV\\.|BOULEVARD|BD|PLACE|CHEMIN|ALL[ÉE]E|IMPASSE|ROUTE|QUAI|COURS|SQUARE)"
@@ -36,8 +37,8 @@ class Rule(NamedTuple):
 
 
 RULES = [
-    Rule("address_full", "ADRESSE", 90, f"{_NUMBER}{_STREET} [^\\n,]{{2,60}}?,? \\d{{5}} [A-ZÀ-Þ]{_WORD}(?: [A-ZÀ-Þ]{_WORD}){{0,256}}"),
-    Rule("address_full_caps", "ADRESSE", 90, f"{_NUMBER}{_STREET_CAPS} [^\\n,]{{2,60}}?,? \\d{{5}} {_WORD_CAPS}(?: {_WORD_CAPS}){{0,256}}"),
+    Rule("address_full", "ADRESSE", 90, f"{_NUMBER}{_STREET} [^\\n,]{{2,60}}?,? \\d{{5}} [A-ZÀ-Þ]{_WORD}(?: [A-ZÀ-Þ]{_WORD})*+"),
+    Rule("address_full_caps", "ADRESSE", 90, f"{_NUMBER}{_STREET_CAPS} [^\\n,]{{2,60}}?,? \\d{{5}} {_WORD_CAPS}(?: {_WORD_CAPS})*+"),
     Rule("address_street", "ADRESSE", 90, f"{_NUMBER}{_STREET} {_WORD}(?: {_WORD}){{0,3}}"),
     Rule("address_street_caps", "ADRESSE", 90, f"{_NUMBER}{_STREET_CAPS} {_WORD_CAPS}(?: {_WORD_CAPS}){{0,3}}"),
     Rule("iban", "IBAN", 80, f"(?i){_B}[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?{_B}", is_valid_iban),

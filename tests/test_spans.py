@@ -109,6 +109,14 @@ def test_long_inputs_do_not_exhaust_the_stack(spark, name):
     rules.candidates(df, [rules.BY_NAME[name]]).count()
 
 
+def test_cities_of_any_length(spark):
+    """All capitalised words that follow a postcode belong to the place."""
+    data = [("address_full", "12 rue Xy, 75001 " + "Paris " * 3000 + "et", 3000 * 6 - 1), ("address_full_caps", "12 RUE XY 75001 " + "PARIS " * 3000 + "et", 3000 * 6 - 1), ("address_full", "12 rue Xy, 75001 Le Bourg-Neuf, ici", 13)]
+    for name, text, city in data:
+        found = rules.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"), [rules.BY_NAME[name]]).collect()
+        assert [(r.start, r.end) for r in found] == [(0, text.index("75001 ") + 6 + city)]
+
+
 def greedy_lines(text, width):
     lines, now = [], ""
     for piece in regex.findall("[^ ]+| +", text):
