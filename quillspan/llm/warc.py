@@ -146,9 +146,11 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, page_id: str =
     """Writes gzip archives into the shared folder; gives the manifest: path, n_records, n_bytes."""
     rows = numbered(pages, "_quillspan_row")
     rows = rows.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"), F.col("_quillspan_row").alias("row"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.length("payload"))
-    first = rows.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.max(F.struct("page_id", "row")).alias("first"))
-    rows = rows.join(first, ["sha", "n"], "left").withColumn("of", F.when(F.col("first.row") != F.col("row"), F.col("first.page_id")))
+    # copies are found over digests alone; only (row, of) of the revisits meets the payloads again
+    keys = rows.select("page_id", "row", F.sha1("payload").alias("sha"), F.length("payload").alias("n")).filter(F.col("n") >= min_revisit_bytes)
+    first = keys.groupBy("sha", "n").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "n", "first")
+    links = keys.join(first, ["sha", "n"]).filter("first.row != row").select("row", F.col("first.page_id").alias("of"))
+    rows = rows.join(links, "row", "left")
     root = scratch(pages.sparkSession) + "/warc"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
