@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -32,7 +33,7 @@ def docs(spark):
 @pytest.fixture
 def small(monkeypatch):
     """Chunks far smaller than the longer texts."""
-    for m in (lm, suffix):
+    for m in (lm, suffix, jaccard):
         monkeypatch.setattr(m, "CHUNK", 700)
     whole = substring.chunked
     monkeypatch.setattr(substring, "chunked", lambda d, i, t: whole(d, i, t, 700))
@@ -62,12 +63,21 @@ def test_language_model(spark, docs, small):
 
 
 def test_tokens(spark, docs):
+    """The ids of each document are the library's own, and lie one after the other."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    plain = []
+    for r in docs.collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 1]
+        plain.append((r.doc_id, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
     got = token_store.token_file_table(docs, tokenizer_path())
-    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in docs.collect())
-    at = 0
+    assert rows(got, "doc_id", "n_tokens", "ids_crc32") == sorted(plain, key=repr)
+    at, before = 0, None
     for r in got.orderBy("start").collect():
-        assert r.start == at
-        at += r.n_tokens
+        key = (r.doc_id is not None, r.doc_id or 0)
+        assert r.start == at and (before is None or before <= key)
+        at, before = at + r.n_tokens, key
 
 
 def test_toxicity(spark, docs):
@@ -76,9 +86,22 @@ def test_toxicity(spark, docs):
     assert got.count() == docs.count() and got.filter("score between 0 and 1 and (score >= 0.5) = (predicted = 1)").count() == docs.count()
 
 
-def test_join(spark, docs):
-    got = jaccard.join(docs).collect()
-    assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((r.doc_id, len(shingles(r.text))) for r in docs.collect())
+def test_join(spark, docs, small):
+    """Components and links of null ids and of texts longer than a chunk: a component of null ids alone has none."""
+    data = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    left, want = set(range(len(data))), []
+    while left:
+        part, edge = set(), {left.pop()}
+        while edge:
+            part |= edge
+            edge = {y for y in left for x in edge if near(data[x][1], data[y][1])}
+            left -= edge
+        least = min((data[x][0] for x in part if data[x][0] is not None), default=None)
+        kinds = {frozenset(data[x][1]) for x in part}
+        want += [(data[x][0], len(data[x][1]), least, sum(k != data[x][1] and near(k, data[x][1]) for k in kinds)) for x in part]
+    assert rows(jaccard.join(docs), "doc_id", "n_shingles", "component_id", "n_links") == sorted(want, key=repr)
+    assert any(i is None and c is not None for i, _, c, _ in want) and any(n for *_, n in want)
 
 
 def test_mixing(spark, docs):
