@@ -40,8 +40,6 @@ ALNUM_WORD[0x30:0x3A] = ALNUM_WORD[0x41:0x5B] = ALNUM_WORD[0x61:0x7B] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R, _M = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _K1, _K2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _K3 = np.uint64(0x9FB21C651E98DF25)

@@ -1,20 +1,22 @@
-"""Suffix-array deduplication with the distributed difference-cover algorithm.
-
-The question is which strings of `window` bytes occur in two documents.  Text that cannot matter is set
-aside first, without loss: windows whose least-hash gram (minimizer) stands in one document only; and the
-text that is left is cut at content-defined places into segments, of which equal ones are kept once, for
-their smallest document (an occurrence in a later document is removed as a whole).  Windows whose minimizer
-stands in a single distinct segment are then set aside as well.
-
-What remains is sorted by suffix.  A symbol is WIDTH bytes.  Suffixes are split by the place of their first
-symbol modulo 3.  Those at 1 and 2 are the sample: their triples of symbols are sorted over the cluster and
-named by the number of smaller ones; the strings of names are sorted in the same way (the recursion, whose
-triples then reach over the window's length, so it ends there); and the remaining suffixes are merged in,
-compared by (symbol, rank) with those at 1 and by (symbol, symbol, rank) with those at 2.  All suffixes then
-go in the order of their ranks, and neighbours whose first `window` bytes are equal form a group; a window
-of the group is a duplicate if the group has a smaller document.
-
-Sorting is by ranges of the first symbol or name; each chunk sends each distinct triple once.
+"""Suffix-array deduplication with the difference-cover algorithm.
+
+The question is which strings of `window` bytes occur in two documents.  Each window has a least-hash gram
+(its minimizer), and equal windows have equal ones; windows whose minimizer stands in one document only are set
+aside first, without loss.  Neighbouring windows with the same minimizer are one piece of text, some 80 bytes.
+A chunk sends each distinct piece once, with its smallest document, to the bucket of its minimizer, so that all
+windows which might be equal meet in one bucket.  Hashes only choose the bucket: what is equal is decided there, by
+sorting all suffixes of the bucket's text that begin a window.  Minimizers that stand in very many pieces have their
+windows dealt to the buckets one by one, by the window's own hash.
+
+A bucket's text is sorted by difference cover (`sorted_windows`).  A symbol is a third of the window (17 bytes).
+Suffixes are split by the number of their first symbol modulo 3.  Those at 1 and 2 are the sample: their triples of
+symbols are sorted and named; the triples reach over the window, so there is no recursion.  Those at 0 are merged in,
+compared by (symbol, rank) with those at 1 and by (symbol, symbol, rank) with those at 2.  In the resulting order,
+neighbours whose first `window` bytes are equal, symbol by symbol, form a group, and a window of the group is a
+duplicate if the group has a smaller document.  One bit for each window goes back to its chunk.
+
+`suffix_ranks` sorts the suffixes of any pieces over the whole cluster instead, with symbols of WIDTH bytes and one
+recursion: by ranges of the first symbol or name, where each chunk sends each distinct triple once.
 
 Defined results: null text has 0 bytes; texts shorter than a window lose nothing; rows with equal ids do not
 remove each other's bytes; a null id counts as the largest and stays null; an empty table gives no rows.
@@ -30,84 +32,292 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, CHUNKS, Chunk, answers, bucket_rows, buckets, buckets_schema, chunked, covered, each_answered, each_chunk, exchange, from_planes, keys_of_documents, planes, several_documents, sliding_min, stored, window_ok, windows
+from .common import Chunk, answers, bucket_rows, buckets_schema, chunked, cleaned, covered, each_answered, each_chunk, exchange, from_planes, mix, partitions, planes, several_documents, sliding_min, stored, tidy, window_ok
 
-WINDOW, GRAM, WIDTH = 50, 20, 6
-#: One gram in so many, about, is a place where segments are cut.
-CUT = 256
-CHUNK = 1 << 20
+WINDOW, GRAM, WIDTH = 50, 16, 6
+CHUNK = 4 << 20
+#: Bytes of documents for each bucket.
+BUCKET = 4 << 20
+#: Pieces with one minimizer beyond which its windows are dealt one by one.
+HOT = 1 << 15
+#: Windows of one piece, about, where its minimizer is repeated.
+MOST = 512
+#: Places whose minimizers are found at once.
+BLOCK = 1 << 15
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_LOW = np.uint64((1 << 32) - 1)
 
 
-class Windows:
-    """Windows of a chunk that lie in one of its texts, and the minimizer of each."""
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
-    def __init__(self, c: Chunk, window: int) -> None:
-        self.b = _BYTE[c.data]
-        self.at = np.flatnonzero(window_ok(c.offsets, window))
-        self.gram = windows(self.b, GRAM)
-        self.minimizer = sliding_min(self.gram, window - GRAM + 1)[self.at]
-        self.doc = np.repeat(np.arange(len(c.offsets) - 1, dtype=np.int32), np.diff(c.offsets))[self.at] if len(self.at) else np.zeros(0, np.int32)
-
-
-def _flagged(w: Windows, flags: np.ndarray) -> np.ndarray:
-    """Windows whose minimizer has a flag; flags: in the order of the sorted distinct minimizers."""
-    if not len(w.at):
-        return np.zeros(0, bool)
-    new = np.ones(len(w.at), bool)
-    new[1:] = w.minimizer[1:] != w.minimizer[:-1]
-    keys = np.unique(w.minimizer[new])
-    return (flags[np.searchsorted(keys, w.minimizer[new])] > 0)[np.cumsum(new) - 1]
-
-
-def _runs(at: np.ndarray, doc: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First indices and lengths of runs of neighbouring windows of one text."""
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
-    if cut is not None:
-        new |= cut
-    first = np.flatnonzero(new)
-    return first, np.diff(np.append(first, len(at)))
 
+def _grams(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Hash of each gram, of its first and last eight bytes."""
+    x = head * _A
+    x ^= x >> np.uint64(29)
+    x += tail
+    x *= _B
+    x ^= x >> np.uint64(32)
+    x *= _A
+    return x
 
-def _pack(c: Chunk, start: np.ndarray, size: np.ndarray, order: np.ndarray) -> pa.Table:
-    """Pieces of a chunk's text, as a chunk of their own; order: the document order of each."""
-    import zstandard
 
-    index = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    text = zstandard.ZstdCompressor(level=1).compress(c.data[index].tobytes())
-    cols = [pa.array([c.name]), pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(order.astype(np.int64))), pa.array([b""], pa.binary()), pa.array([planes(offsets)], pa.binary()), pa.array([text], pa.binary())]
-    return pa.Table.from_arrays(cols, [x.split()[0] for x in CHUNKS.split(", ")])
+class Pieces:
+    """Runs of neighbouring windows of a chunk that have their minimizer in common: first place, number of windows, text
+    (number in the chunk), and hash of the minimizer, of each."""
+
+    def __init__(self, c: Chunk, window: int) -> None:
+        n = len(c.data) - window + 1
+        ok = np.zeros(max(n, 0), bool)
+        for i, j in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist()):
+            if j - i >= window:
+                ok[i : j - window + 1] = True
+        place = np.empty(len(ok), np.int32)
+        for at in range(0, len(ok), BLOCK):  # what is at hand stays in the processor's cache
+            stop = min(at + BLOCK, len(ok))
+            block = np.ascontiguousarray(_blocks(c.data[at : stop + window - 1]))
+            x = _grams(block[: 8 - GRAM], block[GRAM - 8 :])
+            # the first of equal grams counts
+            x &= ~_LOW
+            x |= np.arange(at, at + len(x), dtype=np.uint64)
+            place[at:stop] = sliding_min(x, window - GRAM + 1) & _LOW
+        new, end = ok.copy(), ok.copy()
+        same = place[1:] == place[:-1]
+        new[1:] &= ~(same & ok[:-1])
+        end[:-1] &= ~(same & ok[1:])
+        self.start = np.flatnonzero(new)
+        self.size = np.flatnonzero(end) - self.start + 1
+        first = place[self.start].astype(np.int64)
+        self.key = np.zeros(0, np.uint64)
+        if len(first):
+            block = _blocks(c.data)
+            self.key = mix(_grams(block[first], block[first + GRAM - 8]))
+            self._joined()
+        self.doc = np.searchsorted(c.offsets, self.start, "right") - 1
+
+    def _joined(self) -> None:
+        """Neighbours of one minimizer as one piece, if it stands there again and again, as in a line of one letter."""
+        new = np.ones(len(self.start), bool)
+        new[1:] = (self.start[1:] != self.start[:-1] + self.size[:-1]) | (self.key[1:] != self.key[:-1])
+        if new.all():
+            return
+        begin = self.start[new]
+        step = (self.start - begin[np.cumsum(new) - 1]) // MOST
+        new[1:] |= step[1:] != step[:-1]
+        first = np.flatnonzero(new)
+        self.start, self.size, self.key = self.start[first], np.add.reduceat(self.size, first), self.key[first]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct minimizers, whether each stands in several texts, and its number of pieces."""
+        order = np.argsort(self.key, kind="stable")
+        key, doc = self.key[order], self.doc[order]
+        if not len(key):
+            return key, np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        # texts ascend within a minimizer's pieces
+        last = np.append(first[1:], len(key)) - 1
+        return key[first], (doc[first] != doc[last]).astype(np.uint8), np.diff(np.append(first, len(key))).astype(np.uint32)
+
+
+class Sent:
+    """What a chunk sends: its distinct candidate pieces by bucket, each with its smallest document; and which of them each
+    candidate piece of the chunk is."""
+
+    def __init__(self, c: Chunk, window: int, flags: np.ndarray, parts: int) -> None:
+        p = Pieces(c, window)
+        keys, which = np.unique(p.key, return_inverse=True)
+        flag = flags[which] if len(keys) else np.zeros(0, np.uint8)
+        keep = np.flatnonzero(flag == 1)
+        self.start, self.size, key, doc = p.start[keep], p.size[keep], p.key[keep], p.doc[keep]
+        hot = np.flatnonzero(flag == 2)
+        if len(hot):  # a piece for each window
+            n = p.size[hot]
+            at = np.repeat(p.start[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            raw = c.data.tobytes()
+            own = np.fromiter((int.from_bytes(hashlib.blake2b(raw[i : i + window], digest_size=8).digest(), "little") for i in at.tolist()), np.uint64, len(at))
+            self.start, self.size = np.append(self.start, at), np.append(self.size, np.ones(len(at), np.int64))
+            key, doc = np.append(key, own), np.append(doc, np.repeat(p.doc[hot], n))
+        self.order = c.order[doc]
+        raw = c.data.tobytes()
+        texts: dict[bytes, int] = {}
+        piece = np.array([texts.setdefault(raw[i:j], len(texts)) for i, j in zip(self.start.tolist(), (self.start + self.size + window - 1).tolist())], np.int64)
+        # the smallest document of each text
+        order = np.lexsort((self.order, piece))
+        one = order[np.flatnonzero(np.diff(piece[order], prepend=-1))]
+        bucket = ((key[one] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        self.piece = back[piece]
+        self.least, self.windows, self.bucket = self.order[one][by], self.size[one][by], bucket[by]
+        self.texts = list(texts)
+        self.by = by.tolist()
+
+    def rows(self, chunk: str) -> pa.RecordBatch:
+        import zstandard
+
+        full, first = np.unique(self.bucket, return_index=True)
+        cut = np.append(first, len(self.bucket)).tolist()
+        part = list(zip(cut[:-1], cut[1:]))
+        squeeze = zstandard.ZstdCompressor(level=1)
+        text = [squeeze.compress(b"".join([self.texts[k] for k in self.by[i:j]])) for i, j in part]
+        cols = [text, [planes(self.windows[i:j].astype(np.uint16)) for i, j in part], [planes(self.least[i:j]) for i, j in part]]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.string()), *(pa.array(x, pa.binary()) for x in cols)], ["bucket", "chunk", "keys", "v0", "v1"])
+
+    def gone(self, t: pa.Table) -> np.ndarray:
+        """Starts of the windows that also start in a smaller document; t: the buckets' answers."""
+        if not t.num_rows:
+            return np.zeros(0, np.int64)
+        bits, n = t["bits"].to_pylist(), np.bincount(self.bucket, weights=self.windows).astype(np.int64)
+        bucket = t["bucket"].to_pylist()
+        hit = np.concatenate([np.unpackbits(np.frombuffer(bits[j], np.uint8), count=int(n[bucket[j]])) for j in np.argsort(bucket)]).astype(bool)
+        before = np.cumsum(self.windows) - self.windows
+        step = np.arange(self.size.sum()) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        at = np.repeat(self.start, self.size) + step
+        return at[hit[np.repeat(before[self.piece], self.size) + step] | np.repeat(self.order > self.least[self.piece], self.size)]
+
+
+# ---------------------------------------------------------------- sorting a bucket by difference cover
+
+
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, and which of them (in that order) differ from the one before."""
+    bits = max(len(key) - 1, 1).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits <= 64:  # sorting numbers is several times faster than sorting places
+        both = (key.astype(np.uint64) << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64)
+        both.sort()
+        order = (both & np.uint64((1 << bits) - 1)).view(np.int64)
+        both >>= np.uint64(bits)
+    else:
+        order = np.argsort(key)
+        both = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    return order, new
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The number of smaller distinct keys, for each."""
+    order, new = _order(key)
+    out = np.empty(len(key), np.uint32)
+    out[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return out
+
 
+def _joined(*columns: np.ndarray) -> np.ndarray:
+    """Tuples of integers as one integer each, in the same order; with room for a place beside it, where that can be had."""
+    room = 64 - max(len(columns[0]) - 1, 1).bit_length()
+    out = columns[0].astype(np.uint64)
+    for x in columns[1:]:
+        bits = int(x.max(initial=0)).bit_length()
+        if int(out.max(initial=0)).bit_length() + bits > room:
+            out = _dense(out).astype(np.uint64)
+        out <<= np.uint64(bits)
+        out |= x
+    return out
 
-def _segments(w: Windows, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate windows (indices into w.at), and first index and length of each segment among them."""
-    cand = np.flatnonzero(_flagged(w, flags))
-    at = w.at[cand]
-    first, size = _runs(at, w.doc[cand], (w.gram[at] >> np.uint64(40)) % np.uint64(CUT) == 0)
-    return cand, first, size
 
+def _symbols(data: np.ndarray, width: int) -> np.ndarray:
+    """Rank of the `width` bytes from each place on, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(width + 8, np.uint8)])
+    n, have = len(data), min(width, 5)
+    rank = _dense(np.ndarray((n + width,), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(64 - 8 * have))
+    while have < width:
+        step = min(have, width - have)
+        rank = _dense(_joined(rank[:-step], rank[step:]))
+        have += step
+    return rank[:n]
+
+
+def sorted_windows(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the windows at places `at` (ascending) in the order of the suffixes that begin there, and which of them
+    (in that order) differ in their `window` bytes from the one before."""
+    width = -(-window // 3)
+    n = -(-len(data) // (3 * width)) * 3 * width
+    sym, rank = (np.zeros(n + 3 * width, np.uint32) for _ in range(2))
+    sym[: len(data)] = _symbols(data, width)
+    sample = lambda x, step: x[step : step + n].reshape(-1, 3 * width)[:, width:]
+    triples = _joined(*(sample(sym, k * width).reshape(-1) for k in range(3)))
+    sample(rank, 0)[:] = _dense(triples).reshape(-1, 2 * width)
+    del triples
+    cls = at // width % 3
+    is0, is1, is2 = (np.flatnonzero(cls == k) for k in range(3))
+    total = np.zeros(len(at), np.int64)
+    # the sample among itself
+    total[cls > 0] = _smaller(rank[at[cls > 0]])
+    # those at 0 among themselves and against those at 1, then against those at 2
+    p = at[np.concatenate([is0, is1])]
+    key = _joined(sym[p], rank[p + width])
+    zero, one = key[: len(is0)], key[len(is0) :]
+    total[is0] = _smaller(zero) + _below(one, zero)
+    total[is1] += _below(zero, one)
+    p = at[np.concatenate([is0, is2])]
+    key = _joined(sym[p], sym[p + width], rank[p + 2 * width])
+    zero, two = key[: len(is0)], key[len(is0) :]
+    total[is0] += _below(two, zero)
+    total[is2] += _below(zero, two)
+    order, _ = _order(total)
+    p = at[order]
+    new = np.ones(len(p), bool)
+    new[1:] = False
+    for step in (0, width, window - width):
+        s = sym[p + step]
+        new[1:] |= s[1:] != s[:-1]
+    return order, new
+
+
+def _smaller(key: np.ndarray) -> np.ndarray:
+    """How many keys are smaller, for each."""
+    order, new = _order(key)
+    first = np.flatnonzero(new)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(first, np.diff(np.append(first, len(key))))
+    return out
 
-def _distinct(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a chunk: hash of each, further bits of each, and the one to send for each distinct hash."""
-    raw, at = c.data.tobytes(), c.offsets.tolist()
-    digest = np.frombuffer(b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(at[:-1], at[1:])), "<u8").reshape(-1, 2)
-    h, check = digest[:, 0].copy(), (digest[:, 1] >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((c.order, h))
-    return h, check, order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(h) else order
 
+def _below(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many of the keys are less than each of `of`."""
+    order, _ = _order(of)
+    out = np.empty(len(of), np.int64)
+    out[order] = np.searchsorted(np.sort(keys), of[order])
+    return out
 
-def _kept(c: Chunk, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each segment the smallest document that has it; which are kept; which kept one stands for each."""
-    h, _, one = _distinct(c)
-    which = np.searchsorted(h[one], h)
-    smallest = least[which]
-    return smallest, one[c.order[one] == least], one[which]
 
+def decide(t: pa.Table, window: int) -> pa.Table:
+    """For each row of pieces (as Sent.rows() makes them) a bit for each window: does it also start in a smaller document?"""
+    import zstandard
 
-# ---------------------------------------------------------------- sorting by difference cover
+    squeeze = zstandard.ZstdDecompressor()
+    size = [from_planes(x, "u2").astype(np.int64) for x in t["v0"].to_pylist()]
+    n_row = np.array([len(x) for x in size])
+    size = np.concatenate(size)
+    doc = np.concatenate([from_planes(x, "i8") for x in t["v1"].to_pylist()])
+    raw = b"".join([squeeze.decompress(x) for x in t["keys"].to_pylist()])
+    end = np.cumsum(size + window - 1)
+    texts: dict[bytes, int] = {}
+    piece = np.array([texts.setdefault(raw[i:j], len(texts)) for i, j in zip([0, *end[:-1].tolist()], end.tolist())], np.int64)
+    order = np.lexsort((doc, piece))
+    one = order[np.flatnonzero(np.diff(piece[order], prepend=-1))]
+    raw = b"".join(texts)
+    del texts, order
+    n, least = size[one], doc[one]
+    begin = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat((window - 1) * np.arange(len(n)), n)
+    order, new = sorted_windows(np.frombuffer(raw, np.uint8), at, window)
+    group = np.flatnonzero(new)
+    smallest = np.empty(len(at), np.int64)
+    smallest[order] = np.minimum.reduceat(np.repeat(least, n)[order], group)[np.cumsum(new) - 1]
+    # every sent piece's windows against its own document
+    each = np.repeat(begin[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    hit = smallest[each] < np.repeat(doc, size)
+    cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_row)])].tolist()
+    bits = pa.array([np.packbits(hit[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())
+    return pa.table({"bucket": t["bucket"], "chunk": t["chunk"], "bits": bits})
+
+
+# ---------------------------------------------------------------- sorting over the cluster by difference cover
 
 
 def _key(*words: np.ndarray) -> np.ndarray:
@@ -318,187 +528,45 @@ def _total(pieces: DataFrame) -> int:
     return pieces.select("offsets").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def smallest_documents(pieces: DataFrame, window: int, parts: int) -> tuple[DataFrame, dict, object]:
-    """For each window of the pieces the smallest document of its group of equal ones."""
-    back, rank_of = suffix_ranks(pieces, parts)
-    width = max(1, -(-(_total(pieces) + 1) // parts))
-
-    def ordered(c: Chunk, got: dict[str, pa.Table]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(window_ok(c.offsets, window))
-        rank = rank_of(Suffixes(c), got)[at]
-        order = np.argsort(rank, kind="stable")
-        return at[order], rank[order]
-
-    def send(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        at, rank = ordered(c, got)
-        doc = c.order[np.searchsorted(c.offsets, at, "right") - 1]
-        h = windows(_BYTE[c.data], window)[at]
-        b = np.minimum(rank // width, parts - 1)
-        full, first = np.unique(b, return_index=True)
-        cut = np.append(first, len(b))
-        blobs = [[planes(np.ascontiguousarray(x[cut[i] : cut[i + 1]])) for i in range(len(full))] for x in (rank, h, doc)]
-        return pa.Table.from_arrays([pa.array(full.astype(np.int32)), pa.array([c.name] * len(full), pa.string()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "chunk", "keys", "v0", "v1"])
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        ranks = [from_planes(x, "i8") for x in t["keys"].to_pylist()]
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in ranks])])
-        rank, h, doc = np.concatenate(ranks), np.concatenate([from_planes(x, "u8") for x in t["v0"].to_pylist()]), np.concatenate([from_planes(x, "i8") for x in t["v1"].to_pylist()])
-        order = np.lexsort((h, rank))
-        new = np.ones(len(order), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        first = np.flatnonzero(new)
-        least = np.minimum.reduceat(doc[order], first)
-        out, edge = np.empty(len(order), np.int64), np.zeros(len(order), np.uint8)
-        out[order] = least[np.cumsum(new) - 1]
-        edge[order[: first[1] if len(first) > 1 else len(order)]] |= 1
-        edge[order[first[-1] :]] |= 2
-        cols = [t["bucket"].combine_chunks(), t["chunk"].combine_chunks(), pa.array([planes(np.ascontiguousarray(out[a:b])) for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([edge[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())]
-        ends = (h[order[0]], h[order[-1]])
-        cols += [pa.array([x] * t.num_rows, pa.int64()) for x in (int(ends[0].view(np.int64)), int(least[0]), int(ends[1].view(np.int64)), int(least[-1]))]
-        yield pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "a0", "a1", "h0", "d0", "h1", "d1"])
-
-    sent = each_answered(pieces, back, send, "bucket int, chunk string, keys binary, v0 binary, v1 binary")
-    out = stored(sent.repartitionById(parts, F.col("bucket")).mapInArrow(neighbours, "bucket int, chunk string, a0 binary, a1 binary, h0 long, d0 long, h1 long, d1 long"))
-    # groups that reach over the border of two or more buckets
-    ends = out.groupBy("bucket").agg(*(F.first(c).alias(c) for c in ("h0", "d0", "h1", "d1"))).orderBy("bucket").collect()  # one row per bucket
-    low, high = {r.bucket: r.d0 for r in ends}, {r.bucket: r.d1 for r in ends}
-    for seq in (list(zip(ends[:-1], ends[1:])), [(b, a) for a, b in zip(ends[:-1], ends[1:])][::-1]):
-        for a, b in seq:  # carries the smallest document forwards, then backwards
-            up = a.bucket < b.bucket
-            if (a.h1 if up else a.h0) == (b.h0 if up else b.h1):
-                x, y = (high, low) if up else (low, high)
-                y[b.bucket] = min(y[b.bucket], x[a.bucket])
-                if b.h0 == b.h1 and low[b.bucket] != high[b.bucket]:
-                    low[b.bucket] = high[b.bucket] = min(low[b.bucket], high[b.bucket])
-    borders = (low, high)
-
-    def duplicates(c: Chunk, got: dict[str, pa.Table]) -> np.ndarray:
-        """Windows of a chunk's pieces (by place) that also start in a smaller document."""
-        at, _ = ordered(c, got)
-        t = got["near"]
-        least = np.zeros(0, np.int64)
-        if t.num_rows:
-            bucket, a0, a1 = t["bucket"].to_pylist(), t["a0"].to_pylist(), t["a1"].to_pylist()
-            found = []
-            for j in np.argsort(bucket):
-                x, e = from_planes(a0[j], "i8").copy(), np.frombuffer(a1[j], np.uint8)
-                x[e & 1 > 0] = np.minimum(x[e & 1 > 0], borders[0][bucket[j]])
-                x[e & 2 > 0] = np.minimum(x[e & 2 > 0], borders[1][bucket[j]])
-                found.append(x)
-            least = np.concatenate(found)
-        own = c.order[np.searchsorted(c.offsets, at, "right") - 1]
-        return np.sort(at[least < own])
-
-    return out.drop("h0", "d0", "h1", "d1"), back, duplicates
-
-
 # ---------------------------------------------------------------- the operator
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, n_bytes)."""
+    if window < GRAM:
+        raise ValueError(f"a window has {GRAM} bytes at least")
+    spark = docs.sparkSession
     store = chunked(docs, doc_id, text, CHUNK)
-    parts = buckets(store, CHUNK)
+    parts = max(partitions(spark), -(-store.count() * CHUNK // BUCKET))
 
     def minimizers(c: Chunk) -> Iterator[pa.RecordBatch]:
-        w = Windows(c, window)
-        keys, multi = keys_of_documents(w.minimizer, w.doc)
-        yield bucket_rows(c.name, keys, [multi], parts)
+        keys, multi, n = Pieces(c, window).keys()
+        yield bucket_rows(c.name, keys, [multi, n], parts)
 
     def shared(inverse: np.ndarray, values: list[np.ndarray], chunk_no: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        return [several_documents(values[0], chunk_no, inverse, starts)[inverse].astype(np.uint8)]
-
-    flags = stored(exchange(each_chunk(store, minimizers, buckets_schema(1)), parts, ["u1"], shared, 1))
-
-    def cut(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        w = Windows(c, window)
-        cand, first, size = _segments(w, answers(got["flags"], 0, "u1"))
-        return _pack(c, w.at[cand[first]], size + window - 1, c.order[w.doc[cand[first]]])
-
-    segments = stored(each_answered(store, {"flags": flags}, cut, CHUNKS))
-
-    def send(c: Chunk) -> Iterator[pa.RecordBatch]:
-        h, check, one = _distinct(c)
-        yield bucket_rows(c.name, h[one], [check[one], c.order[one]], parts)
-
-    def least(inverse: np.ndarray, values: list[np.ndarray], chunk_no: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        check, doc = values
-        order = np.lexsort((doc, check, inverse))
-        new = np.ones(len(order), bool)
-        new[1:] = (inverse[order][1:] != inverse[order][:-1]) | (check[order][1:] != check[order][:-1])
-        out = np.empty_like(doc)
-        out[order] = doc[order[np.flatnonzero(new)][np.cumsum(new) - 1]]
-        return [out]
-
-    owner = stored(exchange(each_chunk(segments, send, buckets_schema(2)), parts, ["u4", "i8"], least, 1))
-
-    def only(c: Chunk, kept: np.ndarray) -> Windows:
-        """The windows of the kept segments."""
-        w = Windows(c, window)
-        keep = np.isin(w.doc, kept)
-        w.at, w.minimizer, w.doc = w.at[keep], w.minimizer[keep], w.doc[keep]
-        return w
-
-    def again(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        w = only(c, _kept(c, answers(got["owner"], 0, "i8"))[1])
-        keys, multi = keys_of_documents(w.minimizer, w.doc)
-        return pa.Table.from_batches([bucket_rows(c.name, keys, [multi], parts)])
-
-    flags2 = stored(exchange(each_answered(segments, {"owner": owner}, again, buckets_schema(1)), parts, ["u1"], shared, 1))
-
-    def chosen(c: Chunk, got: dict[str, pa.Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, number of windows, and segment of each piece."""
-        w = only(c, _kept(c, answers(got["owner"], 0, "i8"))[1])
-        pick = np.flatnonzero(_flagged(w, answers(got["flags2"], 0, "u1")))
-        first, size = _runs(w.at[pick], w.doc[pick])
-        return w.at[pick[first]], size, w.doc[pick[first]]
-
-    def take(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        start, size, segment = chosen(c, got)
-        return _pack(c, start, size + window - 1, c.order[segment])
-
-    two = {"owner": owner, "flags2": flags2}
-    pieces = stored(each_answered(segments, two, take, CHUNKS))
-    near, back, duplicates = smallest_documents(pieces, window, parts)
-
-    def mark(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        hit = np.zeros(len(c.data), bool)
-        hit[duplicates(c, got)] = True
-        return pa.table({"chunk": [c.name], "bits": pa.array([np.packbits(hit).tobytes()], pa.binary())})
-
-    marks = stored(each_answered(pieces, {**back, "near": near}, mark, "chunk string, bits binary"))
-
-    def gather(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        smallest, _, stands = _kept(c, answers(got["owner"], 0, "i8"))
-        hit = np.zeros(len(c.data), bool)
-        start, size, _ = chosen(c, got)
-        if got["marks"].num_rows and len(start):
-            n = size + window - 1
-            bits = np.unpackbits(np.frombuffer(got["marks"]["bits"][0].as_py(), np.uint8), count=int(n.sum())).astype(bool)
-            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            hit[at[bits]] = True
-        # an occurrence in a later document goes as a whole; another one in the same document is like the kept one
-        later = smallest < c.order
-        n = np.diff(c.offsets)
-        at = np.repeat(c.offsets[:-1][stands] - c.offsets[:-1], n) + np.arange(len(c.data))
-        hit = hit[at] | np.repeat(later, n)
-        ok = np.zeros(len(c.data), bool)
-        ok[: max(len(c.data) - window + 1, 0)] = window_ok(c.offsets, window)
-        return pa.table({"chunk": [c.name], "bits": pa.array([np.packbits(hit[ok]).tobytes()], pa.binary())})
-
-    gone = stored(each_answered(segments, {**two, "marks": marks}, gather, "chunk string, bits binary"))
+        several = several_documents(values[0], chunk_no, inverse, starts)
+        hot = np.bincount(inverse, weights=values[1], minlength=len(starts)) > HOT
+        return [(several * (1 + hot))[inverse].astype(np.uint8)]
+
+    flags = stored(exchange(each_chunk(store, minimizers, buckets_schema(2)), parts, ["u1", "u4"], shared, 1))
+    cleaned(spark)
+
+    def send(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
+        return pa.Table.from_batches([Sent(c, window, answers(got["flags"], 0, "u1"), parts).rows(c.name)])
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from decide(pa.Table.from_batches(held), window).combine_chunks().to_batches()
+        tidy()
+
+    sent = each_answered(store, {"flags": flags}, send, "bucket int, chunk string, keys binary, v0 binary, v1 binary")
+    gone = stored(sent.repartitionById(parts, F.col("bucket")).mapInArrow(sort, "bucket int, chunk string, bits binary"))
+    cleaned(spark)
 
     def rewrite(c: Chunk, got: dict[str, pa.Table]) -> pa.Table:
-        w = Windows(c, window)
-        cand, _, _ = _segments(w, answers(got["flags"], 0, "u1"))
         flag = np.zeros(max(len(c.data) - window + 1, 0), bool)
-        if got["gone"].num_rows:
-            bits = np.unpackbits(np.frombuffer(got["gone"]["bits"][0].as_py(), np.uint8), count=len(cand)).astype(bool)
-            flag[w.at[cand[bits]]] = True
+        flag[Sent(c, window, answers(got["flags"], 0, "u1"), parts).gone(got["gone"])] = True
         drop = covered(flag, window, len(c.data))
         edge = np.zeros(len(c.data) + 1, bool)
         edge[: len(drop)] = drop

@@ -187,3 +187,109 @@ def test_difference_cover_order(spark, monkeypatch):
             all_ += [(row.rank[i], bytes(row.text[i:b][:54]).ljust(54, b"\0")) for i in range(a, b)]
     all_.sort()
     assert [t for _, t in all_] == sorted(t for _, t in all_) and len({x for x, _ in all_}) > 1000
+
+
+def edited(n, seed=5):
+    """Texts that are one text with other edits in each, so that few segments of them are equal and most windows are."""
+    import random
+
+    r = random.Random(seed)
+    base = "".join(r.choices("abcdefgh ", k=3000))
+    out = []
+    for _ in range(n):
+        t = list(base)
+        for _ in range(20):
+            t[r.randrange(len(t))] = r.choice("XYZ")
+        out.append("".join(t))
+    return out
+
+
+def plain_removed(data):
+    return [(i, len(u), sum(g), hashlib.sha256(bytes(b for b, x in zip(u, g) if not x)).hexdigest()) for i, u, g in removed(data, 50, bytes)]
+
+
+def test_exchanges_of_suffixes_are_bounded_by_the_text(spark, monkeypatch):
+    """What a task of an exchange holds follows from what is brought to it: no exchange brings several times the text."""
+    from pyspark.sql import functions as F
+
+    texts = edited(120)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    brought = []
+    frame = type(df)
+    plain = frame.repartitionById
+
+    def spied(self, n, by):
+        size = sum(F.length(c) for c, kind in self.dtypes if kind == "binary")
+        brought.append(self.agg(F.sum(size)).first()[0])
+        return plain(self, n, by)
+
+    monkeypatch.setattr(frame, "repartitionById", spied)
+    got = rows(suffix.deduplicate(df), "doc_id", "n_bytes", "n_removed", "kept_sha256")
+    assert got == sorted(plain_removed([(i, t.encode()) for i, t in enumerate(texts)]), key=repr)
+    assert brought and max(brought) < 3 * sum(map(len, texts))
+
+
+def test_windows_in_order():
+    """A bucket's windows are sorted by all their bytes, and only equal ones are held equal."""
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for trial in range(60):
+        window = (50, 51, 52, 20, 100)[trial % 5]
+        data = r.integers(97, 98 + trial % 4, int(r.integers(window, 900))).astype(np.uint8)
+        if len(data) > 200:
+            data[100:180] = data[:80]
+        at = np.flatnonzero(r.random(len(data) - window + 1) < 0.8)
+        if len(at):
+            order, new = suffix.sorted_windows(data, at, window)
+            have = [data[a : a + window].tobytes() for a in at[order]]
+            assert have == sorted(have) and new.tolist() == [True] + [x != y for x, y in zip(have[1:], have[:-1])]
+
+
+@pytest.mark.parametrize("flag", [1, 2])
+def test_hashes_only_choose_the_bucket(spark, monkeypatch, flag):
+    """All grams have one hash, so all windows go to one bucket as if they had one minimizer: results are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspan.llm.common import Chunk, chunked
+
+    monkeypatch.setattr(suffix, "_grams", lambda head, tail: np.zeros(len(head), np.uint64))
+    texts = [*edited(12), "x" * 200, "x" * 49, "", "x" * 51, edited(1)[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    chunks = [Chunk(pa.table({k: [r[k]] for k in ("chunk", "doc_ids", "folds", "offsets", "text")}).combine_chunks()) for r in chunked(df).collect()]
+    sent = {c.name: suffix.Sent(c, 50, np.full(1, flag, np.uint8), 1) for c in chunks}
+    told = suffix.decide(pa.Table.from_batches([sent[c.name].rows(c.name) for c in chunks if len(sent[c.name].texts)]), 50)
+    got = []
+    for c in chunks:
+        gone = set(sent[c.name].gone(told.filter(pa.compute.equal(told["chunk"], c.name))).tolist())
+        for i, a, b in zip(c.ids.to_pylist(), c.offsets[:-1].tolist(), c.offsets[1:].tolist()):
+            got.append((i, sum(any(k in gone for k in range(max(a, j - 49), j + 1)) for j in range(a, b))))
+    assert sorted(got) == sorted((i, n) for i, _, n, _ in plain_removed([(i, t.encode()) for i, t in enumerate(texts)]))
+
+
+def test_very_common_minimizers(spark, monkeypatch):
+    """Windows of minimizers with very many pieces are dealt one by one, by their own hash."""
+    monkeypatch.setattr(suffix, "HOT", 2)
+    monkeypatch.setattr(suffix, "CHUNK", 9000)
+    monkeypatch.setattr(suffix, "BUCKET", 4000)
+    data = list(enumerate([*edited(40), "ab" * 300, "q" + "ab" * 100, "a" * 500, "a" * 50]))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = plain_removed([(i, t.encode()) for i, t in data])
+    assert rows(suffix.deduplicate(df), "doc_id", "n_bytes", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
+def test_repeated_minimizers():
+    """Lines of few letters make few pieces, and each window is in one piece."""
+    import numpy as np
+
+    class Text:
+        pass
+
+    for text in ("a" * 100_000, "abcde" * 20_000, "x" * 60 + "ab" * 3000 + "".join(edited(1))):
+        c = Text()
+        c.data, c.offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 0, len(text) - 500, len(text) - 480, len(text)])
+        p = suffix.Pieces(c, 50)
+        at = np.concatenate([np.arange(i, i + n) for i, n in zip(p.start, p.size)])
+        want = [i for a, b in zip(c.offsets[:-1], c.offsets[1:]) for i in range(a, b - 49)]
+        assert at.tolist() == want and p.size.max() < suffix.MOST + 50 and len(p.start) < len(text) / 300 + 400
