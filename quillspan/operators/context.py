@@ -324,10 +324,25 @@ def proper_nouns(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", tex
     return _candidates(t.groupBy(id_col, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")), "NOM_PROPRE", PROPER, "proper", docs, id_col, text)
 
 
+def proper_noun_spans(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """C16 from texts: id, type, start, end, value, in one pass over each text where the word lists fit a task."""
+    from . import scan
+
+    if scan.fits(words):
+        return scan.detect(docs, words, ["proper"], rules=[], merge=False, id_col=id_col, text=text)
+    return proper_nouns(context_tokens(docs, words, id_col, text), docs, id_col, text).select(id_col, "type", "start", "end", "value")
+
+
 def detect(docs: DataFrame, words: DataFrame | None = None, strict: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All detectors; without word lists the format rules alone, resolved greedily."""
-    from . import resolve, rules
+    """All detectors; without word lists the format rules alone, resolved greedily.
+
+    One pass over each text by itself; with word lists that are too long for every task, windows and joins instead.
+    """
+    from . import resolve, rules, scan
 
+    if words is not None and scan.fits(words):
+        found = scan.detect(docs, words, list(scan.DETECTORS) if strict else scan.BALANCED, id_col=id_col, text=text)
+        return found.withColumn("id", resolve.span_id(F.col("type"), F.col("start"), F.col("end")))
     found = rules.candidates(docs, id_col=id_col, text=text)
     if words is None:
         return resolve.greedy(found, id_col)
