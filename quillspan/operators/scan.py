@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions.text import BARE, MARKED, SPACE
-from quillspan.types import TYPES
+from quillspan.types import COMPACT, TYPES
 
 from . import context as C
 from .rules import _B, _DAY, _EN_MONTHS, _NUMBER, _SEP, _STREET, _STREET_CAPS, BY_NAME, RULES, Rule
@@ -462,3 +462,34 @@ def detect(docs: DataFrame, words: DataFrame, names: Sequence[str], rules: Seque
 
     schema = T.StructType([rows.schema[0], T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())])
     return rows.mapInArrow(run, schema)
+
+
+_SEPARATORS, _EDGES, _WHITE = re.compile("[^A-Za-z0-9+]"), re.compile(f"^[{SPACE}]+|[{SPACE}]+\\Z"), re.compile(f"[{SPACE}]+")
+
+
+def key_of(kind: str, value: str) -> str:
+    """X12"""
+    return _SEPARATORS.sub("", value).upper() if kind in COMPACT else _WHITE.sub(" ", _EDGES.sub("", value)).lower()
+
+
+_SPANS = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.string())])
+
+
+def rule_spans(rows: DataFrame, rules: Sequence[Rule], text: str) -> DataFrame:
+    """rows with `spans`: type, start, end and key of what the rules find in each text, merged (R2); a table or a stream."""
+    at, rules = rows.columns.index(text), list(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in sliced(whole, at):
+                joined, begin, found = candidates(b.column(at), rules, [], None)
+                start, end, kind = merged(*found.T)
+                doc = np.searchsorted(begin, start, "right") - 1
+                kinds = [KINDS[k] for k in kind.tolist()]
+                keys = [key_of(k, joined[s:e]) for k, s, e in zip(kinds, start.tolist(), end.tolist())]
+                base = begin[doc] if len(doc) else doc
+                each = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(start - base, pa.int32()), pa.array(end - base, pa.int32()), pa.array(keys, pa.string())], fields=list(_SPANS))
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)], [*b.schema.names, "spans"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("spans", T._parse_datatype_string("array<struct<type:string,start:int,end:int,key:string>>"))]))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspan.functions.text import label_key
+from quillspan.operators import scan
 from quillspan.operators.rules import RULES, Rule, rule_spans
 from quillspan.sources import scratch
 
@@ -51,6 +52,8 @@ def islands(found: list[dict]) -> list[dict]:
 
 def found_spans(messages: DataFrame, rules: list[Rule] = RULES, thread: str = "thread", seq: str = "seq", text: str = "text") -> DataFrame:
     """thread, seq, text, spans (type, start, end, key): one pass over the messages, a stream or a table."""
+    if scan.known(rules):
+        return scan.rule_spans(messages.select(F.col(thread).alias("thread"), F.col(seq).alias("seq"), F.col(text).cast("string").alias("text")), rules, "text")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,26 +69,29 @@ def found_spans(messages: DataFrame, rules: list[Rule] = RULES, thread: str = "t
     return merged.withColumn("spans", F.transform("spans", lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), key(s))))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with `row`, a number of their own, and `tie`, the order by text of those with one thread and seq."""
+    tie = F.row_number().over(W.partitionBy("thread", "seq").orderBy("text"))
+    return rows.withColumn("tie", tie).withColumn("row", F.monotonically_increasing_id())
+
+
 def _whole(rows: DataFrame) -> DataFrame:
-    """A table: numbers by windows over the distinct values of a thread."""
-    met = rows.select("thread", "seq", "text", F.explode("spans").alias("s")).select("thread", F.col("s.type").alias("type"), F.col("s.key").alias("key"), F.struct("seq", "text", F.col("s.start").alias("start")).alias("at"))
-    first = met.groupBy("thread", "type", "key").agg(F.min("at").alias("at"))
+    """A table: numbers by windows over the distinct values of a thread; what is joined and grouped has no texts."""
+    uses = rows.select("thread", "row", "seq", "tie", F.explode("spans").alias("s")).select("thread", "row", "seq", "tie", "s.*")
+    first = uses.groupBy("thread", "type", "key").agg(F.min(F.struct("seq", "tie", "start")).alias("at"))
     number = F.row_number().over(W.partitionBy("thread", "type").orderBy("at"))
-    names = first.select("thread", F.struct("type", "key").alias("value"), F.format_string("[%s_%d]", "type", number).alias("label"))
+    names = first.select("thread", "type", "key", F.format_string("[%s_%d]", "type", number).alias("label"))
     # the labels of one message's values come to it by key, so that no thread's names are gathered
-    row = F.struct("seq", "text", "copy")
-    copies = rows.withColumn("copy", F.row_number().over(W.partitionBy("thread", "seq", "text").orderBy(F.lit(0))))
-    uses = copies.select("thread", row.alias("row"), F.explode("spans").alias("s")).select("thread", "row", "s.start", "s.end", F.struct("s.type", "s.key").alias("value"))
-    uses = uses.join(names, uses["thread"].eqNullSafe(names["thread"]) & (uses["value"] == names["value"])).select(uses["thread"], "row", "start", "end", "label")
-    plan = uses.groupBy("thread", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("plan"))
-    docs = copies.select("thread", row.alias("row"))
-    both = docs.join(plan, docs["thread"].eqNullSafe(plan["thread"]) & docs["row"].eqNullSafe(plan["row"]), "left").select(docs["thread"], docs["row"], "plan")
-    text, plan_ = F.col("row.text"), F.coalesce("plan", F.array().cast("array<struct<start:int,end:int,label:string>>"))
+    same = uses["thread"].eqNullSafe(names["thread"]) & (uses["type"] == names["type"]) & (uses["key"] == names["key"])
+    placed = uses.join(names, same).select("row", "start", "end", "label")
+    plan = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("plan"))
+    both = rows.select("thread", "row", "seq", "text").join(plan, "row", "left")
+    text, plan_ = F.col("text"), F.coalesce("plan", F.array().cast("array<struct<start:int,end:int,label:string>>"))
     before = lambda i: F.when(i == 0, 0).otherwise(F.element_at("plan", i)["end"])
     parts = F.transform(plan_, lambda r, i: F.concat(F.substr(text, before(i) + 1, r["start"] - before(i)), r["label"]))
     last = F.coalesce(F.get("plan", F.size("plan") - 1)["end"], F.lit(0))
     redacted = F.when(text.isNotNull(), F.concat(F.array_join(parts, ""), F.substr(text, last + 1)))
-    return both.select("thread", F.col("row.seq").alias("seq"), redacted.alias("redacted"), F.transform(plan_, lambda r: r["label"]).alias("labels"))
+    return both.select("thread", "seq", redacted.alias("redacted"), F.transform(plan_, lambda r: r["label"]).alias("labels"))
 
 
 def _stream(rows: DataFrame) -> DataFrame:
@@ -126,7 +132,7 @@ def redact_threads(messages: DataFrame, rules: list[Rule] = RULES, thread: str =
     """thread, seq, redacted, labels of each message."""
     rows = found_spans(messages, rules, thread, seq, text)
     # a table's spans are read three times (values, uses, texts): the rules run once, into a table of their own
-    return _stream(rows) if messages.isStreaming else _whole(scratch.written(rows))
+    return _stream(rows) if messages.isStreaming else _whole(scratch.written(_numbered(rows)))
 
 
 def redact_stream(messages: DataFrame, path: str, checkpoint: str, **options) -> None:  # noqa: ANN003

@@ -3,6 +3,7 @@
 import random
 import tempfile
 
+from quillspan.sources import scratch
 from quillspan.operators.rules import BY_NAME
 from quillspan.streaming import threads
 
@@ -65,3 +66,17 @@ def test_islands_take_the_strongest_type():
     got = threads.islands([c(5, 9, "IP", 20), c(0, 6, "URL", 50), c(8, 12, "DATE", 30), c(12, 13, "IP", 20), c(0, 6, "EMAIL", 45, 1)])
     assert [(x["type"], x["start"], x["end"]) for x in got] == [("URL", 0, 12), ("IP", 12, 13)]
     assert threads.islands([]) == []
+
+
+def test_rules_run_outside_the_jvm_and_joins_have_no_texts(spark):
+    """The rules of the package were columns, and texts were keys of windows, groupings and joins; results stay those of the columns."""
+    rows = [(c, t % 3, f"a{t % 4}@x.fr, 10.0.0.{t % 5} et www.s{c}.fr/É le 2020-01-0{t % 9 + 1}") for c in (1, 2, None) for t in range(12)] + [(1, None, "a1@x.fr"), (1, 0, None), (1, 0, "a9@x.fr")]
+    messages = spark.createDataFrame(rows, "thread long, seq long, text string")
+    found = threads.found_spans(messages)
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    other = [r._replace(priority=r.priority) for r in threads.RULES]  # equal rules that only have their columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, threads.found_spans(messages, other).collect()))
+    plan = threads._whole(scratch.written(threads._numbered(found)))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if ("Aggregate" in line or "Window" in line) and "text#" in line]
+    got, want = (sorted(map(repr, threads.redact_threads(messages, r).collect())) for r in (threads.RULES, other))
+    assert got == want and len(got) == len(rows)
