@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.sources import scratch
 from quillspan.streaming import threads
 
-from .detection import candidates_sql, merged_sql, plan_sql, tables
+from .detection import candidates_sql, merged_sql, plan_sql
 from .sources import MESSAGES
 
 QUERIES: dict = {}
@@ -42,7 +42,7 @@ def redact_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_threads_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
     """The same as a stream that comes in three parts, earlier messages first, each read by a query of its own that takes
     up the state of the one before."""
-    messages = tables(spark, sf_dir, MESSAGES, "orders")
+    messages = _messages(spark, sf_dir)
     low, high = messages.agg(F.min("seq"), F.max("seq")).first()
     if low is None:
         return _shown(threads.redact_threads(messages))

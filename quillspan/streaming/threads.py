@@ -121,8 +121,8 @@ def _stream(rows: DataFrame) -> DataFrame:
                 at = s["end"]
             out.append((key[0], None if pd.isna(seq) else seq, None if text is None else "".join(parts) + text[at:], labels))
         state.update((types, keys))
-        thread, seqs, texts, labels = (list(x) for x in zip(*out))
-        yield pd.DataFrame({"thread": pd.Series(thread, dtype=object), "seq": pd.Series(seqs, dtype=object), "redacted": pd.Series(texts, dtype=object), "labels": pd.Series(labels, dtype=object)})
+        # one frame of objects: there are as many frames as threads
+        yield pd.DataFrame(out, columns=["thread", "seq", "redacted", "labels"], dtype=object)
 
     schema = f"thread {kind['thread']}, seq {kind['seq']}, redacted string, labels array<string>"
     return rows.groupBy("thread").applyInPandasWithState(number, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
