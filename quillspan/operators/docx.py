@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,16 +41,31 @@ def unzip(packages: DataFrame, doc_id: str = "doc_id", content: str = "content")
 
 
 def zip_parts(parts: DataFrame) -> DataFrame:
-    """doc_id, content: one package of all (name, xml) of a document, stored."""
+    """doc_id, content: one package of all (name, xml) of a document, stored.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    Parts stream by in the order of documents and names, so that a package costs no group of its own."""
+
+    def package(own: list[tuple[str, str]]) -> bytes:
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w", zipfile.ZIP_STORED) as z:
-            for name, xml in sorted(zip(rows["name"], rows["xml"])):
+            for name, xml in own:
                 z.writestr(zipfile.ZipInfo(name), xml)
-        return pd.DataFrame([(key[0], data.getvalue())], columns=["doc_id", "content"])
-
-    return parts.select("doc_id", "name", "xml").groupBy("doc_id").applyInPandas(run, "doc_id long, content binary")
+        return data.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lambda out: pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], ["doc_id", "content"])
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out, size = [], 0
+        for key, own in groupby(rows, lambda r: r[0]):
+            out.append((key, package([(name, xml) for _, name, xml in own])))
+            size += len(out[-1][1])
+            if size > 1 << 22 or len(out) == 10_000:
+                yield table(out)
+                out, size = [], 0
+        yield table(out)
+
+    rows = parts.select(F.col("doc_id").cast("long"), "name", "xml").repartition("doc_id").sortWithinPartitions("doc_id", "name", "xml")
+    return rows.mapInArrow(run, "doc_id long, content binary")
 
 
 def accept_changes(xml: Column) -> Column:

@@ -81,3 +81,18 @@ def test_boxes_by_width(spark):
     ranges = spark.createDataFrame([(1, 0, 2)], "doc_id int, start int, end int")
     even, wide = pages.boxes(ranges, items, spans).head(), pages.boxes(ranges, items, spans, by_width=True).head()
     assert even.width == pytest.approx(20 + 3) and wide.width == pytest.approx(40 * 444 / 2332 + 3)
+
+
+def test_packages_need_no_group_of_their_own(spark):
+    """Each document was a group of pandas; packages hold the same parts in the order of their names."""
+    import io
+    import zipfile
+
+    rows = [(d, n, f"<w:t>{d}{n}é</w:t>") for d in (3, 1, 2, None, 70_000) for n in ("word/b.xml", "word/a.xml", "docProps/core.xml")]
+    df = docx.zip_parts(spark.createDataFrame(rows, "doc_id long, name string, xml string").repartition(5))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: bytes(r.content) for r in df.collect()}
+    assert set(got) == {3, 1, 2, None, 70_000}
+    for d, content in got.items():
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            assert z.namelist() == ["docProps/core.xml", "word/a.xml", "word/b.xml"] and z.read("word/b.xml").decode() == f"<w:t>{d}word/b.xmlé</w:t>"
