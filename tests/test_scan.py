@@ -62,3 +62,9 @@ def test_long_text_and_batches(spark, monkeypatch):
     data = [(1, ""), (2, "Nom"), (3, ": Rose Vaubrun"), (4, "x " * 700_000 + "M. Otto Grandel"), (5, "12 34"), (6, "56 78 90"), (7, None), (8, "Fait à"), (9, "Valbrune")]
     got = context.detect(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), tokens.lexicon(spark, LEXICON), True)
     assert [(r.doc_id, r.type, r.value) for r in got.orderBy("doc_id").collect()] == [(3, "PERSONNE", "Rose Vaubrun"), (4, "PERSONNE", "Otto Grandel"), (9, "NOM_PROPRE", "Valbrune")]
+
+
+def test_proper_nouns_without_windows(spark):
+    docs, words = spark.createDataFrame(texts(4, 60), "doc_id long, text string"), tokens.lexicon(spark, LEXICON)
+    got = context.proper_noun_spans(docs, words)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString() and got.count() > 50
